@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memloom.llm import garbled, tokens
+from memloom.llm import garbled, pairs, tokens
 from memloom.session import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.defective_pairs(table(spark, sf_dir, "answers"), table(spark, sf_dir, "documents"))
+
+
 def p5_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"), ["doc_id"])
 
@@ -20,5 +24,5 @@ def p7_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled.restored_documents(table(spark, sf_dir, "documents"), "doc_id")
 
 
-QUERIES = {"p5_ids": p5_ids, "p7_found": p7_found, "p7_restored": p7_restored}
+QUERIES = {"p3_found": p3_found, "p5_ids": p5_ids, "p7_found": p7_found, "p7_restored": p7_restored}
 ORACLES: dict[str, str] = {}
