@@ -2,16 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from memloom.llm import garbled, pairs, tokens
+from memloom.llm import garbled, pairs, pieces, splits, tokens
 from memloom.session import table
 
 
+_WRITTEN = ["dataset_source", "conversation_id"]
+
+
+def _question_label() -> Column:
+    return F.concat_ws("|", splits.benchmark(F.col("dataset_source")), F.lower(F.trim("question_type")))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = table(spark, sf_dir, "questions")
+    return splits.split_conflicts(q, "row_id", _WRITTEN, splits.question_entities(q), splits.split_label(F.col("split")))
+
+
+def p1_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = table(spark, sf_dir, "questions")
+    return splits.assign_splits(q, table(spark, sf_dir, "split_targets"), "row_id", _WRITTEN, splits.question_entities(q), _question_label())
+
+
+def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, targets = table(spark, sf_dir, "questions"), table(spark, sf_dir, "split_targets")
+    return splits.split_report(q, p1_assignment(spark, sf_dir), targets, "row_id", _question_label())
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.defective_pairs(table(spark, sf_dir, "answers"), table(spark, sf_dir, "documents"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces.split_oversized(table(spark, sf_dir, "turns"), ["row_id"])
+    return found.filter("piece = 0").select("row_id", F.col("forced").cast("int").alias("forced"))
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.split_oversized(table(spark, sf_dir, "turns"), ["row_id", "turn_id"], images="images")
+
+
 def p5_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"), ["doc_id"])
 
@@ -24,5 +55,5 @@ def p7_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled.restored_documents(table(spark, sf_dir, "documents"), "doc_id")
 
 
-QUERIES = {"p3_found": p3_found, "p5_ids": p5_ids, "p7_found": p7_found, "p7_restored": p7_restored}
+QUERIES = {f.__name__: f for f in (p1_found, p1_assignment, p1_report, p3_found, p4_found, p4_pieces, p5_ids, p7_found, p7_restored)}
 ORACLES: dict[str, str] = {}
