@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from memloom.llm import garbled, pairs, pieces, splits, tokens
-from memloom.session import table
+from memloom.llm import garbled, mixing, pairs, pieces, splits, tokens
+from memloom.session import cut_lineage, table
 
 
 _WRITTEN = ["dataset_source", "conversation_id"]
@@ -47,6 +47,27 @@ def p5_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def _sized(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(id, source, n_tokens) of the documents of the named sources, and the targets (a fixed table of a few rows)."""
+    targets = table(spark, sf_dir, "mix_targets")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "text")
+    docs = docs.join(F.broadcast(targets.select("source")), "source", "left_semi")
+    return tokens.token_counts(docs, ["id", "source"]), targets
+
+
+def p6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mix as large as all documents of the named sources."""
+    sized, targets = _sized(spark, sf_dir)
+    return mixing.mix_sources(sized, targets).withColumnRenamed("id", "doc_id")
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized, targets = _sized(spark, sf_dir)
+    sized = cut_lineage(sized)
+    total = mixing.available_tokens(sized, targets)
+    return mixing.mix_report(mixing.mix_sources(sized, targets, total), targets, total)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled.garbled_documents(table(spark, sf_dir, "documents"), "doc_id")
 
@@ -55,5 +76,5 @@ def p7_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled.restored_documents(table(spark, sf_dir, "documents"), "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_assignment, p1_report, p3_found, p4_found, p4_pieces, p5_ids, p7_found, p7_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_assignment, p1_report, p3_found, p4_found, p4_pieces, p5_ids, p6_mix, p6_report, p7_found, p7_restored)}
 ORACLES: dict[str, str] = {}
