@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from memloom.plans import training
+from memloom.plans import calls, memory, training
 
-_MODULES = (training,)
+_MODULES = (calls, memory, training)
 
 
 def queries() -> dict:

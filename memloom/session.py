@@ -19,6 +19,7 @@ def build_session(app: str = "memloom", master: str | None = None, partitions: i
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
     }
     if partitions:
         conf["spark.sql.shuffle.partitions"] = str(partitions)
