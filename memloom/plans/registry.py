@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from memloom.plans import calls, memory, training
+from memloom.plans import answers, calls, memory, training
 
-_MODULES = (calls, memory, training)
+_MODULES = (answers, calls, memory, training)
 
 
 def queries() -> dict:
