@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from memloom.plans import answers, calls, memory, training
+from memloom.plans import advantages, answers, calls, evaluating, memory, splitting, star, training
 
-_MODULES = (answers, calls, memory, training)
+_MODULES = (advantages, answers, calls, evaluating, memory, splitting, star, training)
 
 
 def queries() -> dict:
