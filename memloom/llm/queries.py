@@ -77,4 +77,12 @@ def p7_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_assignment, p1_report, p3_found, p4_found, p4_pieces, p5_ids, p6_mix, p6_report, p7_found, p7_restored)}
-ORACLES: dict[str, str] = {}
+
+_TRIM = "regexp_replace(lower({c}), '^[\\t-\\r\\x1c-\\x20\\x{{85}}\\p{{Z}}]+|[\\t-\\r\\x1c-\\x20\\x{{85}}\\p{{Z}}]+$', '', 'g')".format(c="split")
+_BENCHMARK = "CASE " + " ".join(f"WHEN starts_with(s, '{b}') THEN '{b}'" for b in splits.BENCHMARKS) + " ELSE s END"
+ORACLES = {
+    "p1_found": f"""WITH q AS (SELECT row_id, regexp_replace(lower(dataset_source), '[^a-z0-9]', '', 'g') AS s, regexp_replace(lower(conversation_id), '[\\t-\\r\\x1c-\\x20\\x{{85}}\\p{{Z}}_-]+', '', 'g') AS c, {_TRIM} AS l FROM questions),
+        k AS (SELECT row_id, CASE WHEN s <> '' AND c <> '' THEN {_BENCHMARK} || '/' || c END AS k, CASE WHEN l IN ('train', 'training') THEN 1 WHEN l IN ('val', 'valid', 'validation', 'dev') THEN 2 WHEN l = 'test' THEN 3 END AS l FROM q)
+        SELECT row_id FROM k WHERE k IN (SELECT k FROM k WHERE k IS NOT NULL GROUP BY k HAVING count(DISTINCT l) > 1)""",
+    "p4_found": """SELECT row_id, CAST(list_max(list_transform(regexp_split_to_array(text, '[\\t-\\r\\x1c-\\x20\\x{85}\\p{Z}.!?;:,。！？；：，、]+'), lambda x: length(x))) > 1000 AS INT) AS forced FROM turns WHERE length(text) > 1000""",
+}
