@@ -29,17 +29,19 @@ def missing_scopes(required: DataFrame, provided: DataFrame, keys: list[str]) ->
     return required.select(*keys).distinct().join(p, on, "left_anti")
 
 
-def normalized_items(items: Column, prefix: str = "external") -> Column:
-    """An array of JSON texts as STRUCT(id, text): an object's ``id`` and ``text``, else the plain text; a missing id
+def normalized_item(item: Column, position: Column, prefix: str = "external") -> Column:
+    """A JSON or plain text as STRUCT(id, text): an object's ``id`` and ``text``, else the plain text; a missing id
     is the prefix and the position."""
-    def one(x: Column, i: Column) -> Column:
-        v = F.try_parse_json(x)
-        is_object = F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
-        ident = F.when(is_object, F.nullif(strip(text(F.try_variant_get(v, "$.id", "string"))), F.lit("")))
-        body = F.when(is_object, strip(text(F.try_variant_get(v, "$.text", "string")))).otherwise(strip(text(x)))
-        return F.struct(F.coalesce(ident, F.format_string(prefix + "_%04d", i)).alias("id"), body.alias("text"))
-
-    return F.filter(F.transform(items, one), lambda s: s["text"] != "")
+    v = F.try_parse_json(item)
+    is_object = F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+    ident = F.when(is_object, F.nullif(strip(text(F.try_variant_get(v, "$.id", "string"))), F.lit("")))
+    body = F.when(is_object, strip(text(F.try_variant_get(v, "$.text", "string")))).otherwise(strip(text(item)))
+    return F.struct(F.coalesce(ident, F.format_string(prefix + "_%04d", position)).alias("id"), body.alias("text"))
+
+
+def normalized_items(items: Column, prefix: str = "external") -> Column:
+    """``normalized_item`` of each entry of an array, blank texts left out."""
+    return F.filter(F.transform(items, lambda x, i: normalized_item(x, i, prefix)), lambda s: s["text"] != "")
 
 
 # Where a nested memory item may hold turns, text and a time.

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from memloom.functions.text import strip, text
+from memloom.operators.skew import positions
 
 
 def word_count(c: Column) -> Column:
@@ -13,33 +17,32 @@ def word_count(c: Column) -> Column:
     return F.when(t == "", 0).otherwise(F.size(F.split(t, r"[\t-\r\x1c-\x20\x85\p{Z}]+")))
 
 
-def latest(df: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
-    """One row per key: the last by ``by`` (which should end in a unique column). A max over a struct of the row's other
-    columns: partial aggregation, no sort of a hot key."""
-    rest = [c for c in df.columns if c not in keys and c not in by]
-    top = df.groupBy(*keys).agg(F.max(F.struct(*by)).alias("__by"))
-    back = df.join(top, keys).filter(F.struct(*by) == F.col("__by")).drop("__by")
-    return back.select(*keys, *by, *rest)
-
-
 def pack(df: DataFrame, session: list[str], order: list[str], size: Column, target: int) -> DataFrame:
     """Greedy packing of a session's turns: a chunk is closed before a turn that would overflow ``target`` and once it
-    has reached it; an oversized turn stands alone; blank turns (size 0) are left out. Adds ``chunk`` (from 0).
-
-    One fold over a session's sizes; a session is the unit of order, so it is one row's array of small structs."""
-    rows = df.withColumn("__size", size).filter("__size > 0")
-    packed = rows.groupBy(*session).agg(F.array_sort(F.collect_list(F.struct(*order, "__size"))).alias("__t"))
-    zero = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("held"), F.array().cast("array<int>").alias("out"))
-
-    def step(a: Column, t: Column) -> Column:
-        n = t["__size"].cast("int")
-        opens = (a["held"] > 0) & ((a["held"] + n > target) | (a["held"] >= target))
-        chunk = F.when(opens, a["chunk"] + 1).otherwise(a["chunk"])
-        return F.struct(chunk.alias("chunk"), F.when(opens, n).otherwise(a["held"] + n).alias("held"), F.concat(a["out"], F.array(chunk)).alias("out"))
-
-    numbered = packed.select(*session, "__t", F.aggregate("__t", zero, step)["out"].alias("__c"))
-    flat = numbered.select(*session, F.explode(F.arrays_zip("__t", "__c")).alias("__x"))
-    return flat.select(*session, *[F.col(f"__x.__t.{o}").alias(o) for o in order], F.col("__x.__t.__size").alias("size"), F.col("__x.__c").alias("chunk"))
+    has reached it; an oversized turn stands alone; blank turns (size 0) are left out. (session, order, size, chunk), chunks from 0.
+
+    Each chunk depends on the one before, so a session is one sequence; it is streamed through its task in Arrow batches,
+    sorted, with three numbers of state, and never held as a whole."""
+    rows = df.select(*session, *order, size.cast("bigint").alias("size")).filter("size > 0")
+    rows = rows.repartition(*session).sortWithinPartitions(*session, *order)
+    n = len(session)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, chunk = None, 0, 0
+        for b in batches:
+            out = []
+            keys = zip(*[b.column(k).to_pylist() for k in range(n)])
+            for key, s in zip(keys, b.column(b.num_columns - 1).to_pylist()):
+                if key != now:
+                    now, held, chunk = key, 0, 0
+                elif held + s > target or held >= target:
+                    held, chunk = 0, chunk + 1
+                held += s
+                out.append(chunk)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int32())], names=[*b.schema.names, "chunk"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(work, fields + ", chunk int")
 
 
 def assemble(df: DataFrame, keys: list[str], order: list[str], texts: str, ids: str) -> DataFrame:
@@ -51,8 +54,7 @@ def assemble(df: DataFrame, keys: list[str], order: list[str], texts: str, ids:
 
 def bank_ids(chunks: DataFrame, conversation: list[str], order: list[str]) -> DataFrame:
     """Chunk ids ``m0000`` ... numbered across a conversation's sessions."""
-    w = W.partitionBy(*conversation).orderBy(*order)
-    return chunks.withColumn("memory_id", F.format_string("m%04d", F.row_number().over(w) - 1))
+    return positions(chunks, conversation, order, "__p").withColumn("memory_id", F.format_string("m%04d", "__p")).drop("__p")
 
 
 def occurrence_suffix(df: DataFrame, key: list[str], order: list[str], base: str, turn: str) -> DataFrame:
@@ -62,12 +64,23 @@ def occurrence_suffix(df: DataFrame, key: list[str], order: list[str], base: str
     return df.withColumn("unique_id", F.when(n == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("@turn"), F.col(turn).cast("string"))))
 
 
-def visible_prefix(sessions: DataFrame, checkpoints: DataFrame, keys: list[str]) -> DataFrame:
-    """Sessions a checkpoint sees: all up to the last one it covers. ``sessions``: keys, session_id, session_index;
+def last_visible(sessions: DataFrame, checkpoints: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, checkpoint, last: the greatest index of the sessions a checkpoint covers. ``sessions``: keys, session_id, session_index;
     ``checkpoints``: keys, checkpoint, covered (session ids)."""
     covered = checkpoints.select(*keys, "checkpoint", F.explode("covered").alias("session_id"))
-    last = covered.join(sessions, [*keys, "session_id"]).groupBy(*keys, "checkpoint").agg(F.max("session_index").alias("last"))
-    return sessions.join(last, keys).filter("session_index <= last").drop("last")
+    return covered.join(sessions, [*keys, "session_id"]).groupBy(*keys, "checkpoint").agg(F.max("session_index").alias("last"))
+
+
+def visible_prefix(sessions: DataFrame, checkpoints: DataFrame, keys: list[str]) -> DataFrame:
+    """The sessions each checkpoint sees: all up to the last one it covers, covered or not."""
+    return sessions.join(last_visible(sessions, checkpoints, keys), keys).filter("session_index <= last").drop("last")
+
+
+def visible_counts(sessions: DataFrame, checkpoints: DataFrame, keys: list[str]) -> DataFrame:
+    """How many sessions each checkpoint sees, from running counts of the sessions: no pair of session and checkpoint is formed."""
+    at = sessions.groupBy(*keys, "session_index").agg(F.count(F.lit(1)).alias("__n"))
+    running = at.withColumn("sessions", F.sum("__n").over(W.partitionBy(*keys).orderBy("session_index"))).select(*keys, F.col("session_index").alias("last"), "sessions")
+    return last_visible(sessions, checkpoints, keys).join(running, [*keys, "last"])
 
 
 def compression_totals(df: DataFrame, original: Column, compressed: Column) -> DataFrame:

@@ -1,8 +1,10 @@
-"""Joins of a large side with one row per key, where one key may hold a third of the large side."""
+"""Joins and positions where one key may hold a third of all rows, and cutoffs that bound a result."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
+
+from memloom.session import cut_lineage
 
 #: Keys that hold more than this share of the rows are hot; there are at most 1 / HOT_SHARE of them.
 HOT_SHARE = 0.001
@@ -16,3 +18,46 @@ def join_unique(rows: DataFrame, dim: DataFrame, key: str, n: str, total: int) -
     hot = F.broadcast(dim.filter(F.col(n) > least).drop(n))
     cold = dim.filter(F.col(n) <= least).drop(n)
     return rows.join(hot, key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+
+
+def positions(df: DataFrame, keys: list[str], order: list[str], name: str = "position") -> DataFrame:
+    """``df`` with each row's place (from 0) within its key by ``order``, which should be unique within the key. Rows are cut into
+    ranges of (key, order); a place is the rows of the key in earlier ranges plus the place within the range. So a key
+    with a third of the rows is spread over a third of the tasks. The ranges are checkpointed, as both steps must see the same."""
+    ranged = df.repartitionByRange(*[F.col(c) for c in [*keys, *order]]).withColumn("__range", F.spark_partition_id())
+    ranged = cut_lineage(ranged)
+    counts = ranged.groupBy(*keys, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.withColumn("__before", F.sum("__n").over(W.partitionBy(*keys).orderBy("__range")) - F.col("__n")).drop("__n")
+    inside = W.partitionBy(*keys, "__range").orderBy(*order)
+    placed = ranged.withColumn("__inside", F.row_number().over(inside) - 1)
+    on = F.col("a.__range") == F.col("b.__range")
+    for k in keys:
+        on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    out = placed.alias("a").join(before.alias("b"), on)
+    return out.select(*[F.col(f"a.{c}") for c in df.columns], (F.col("__before") + F.col("__inside")).alias(name))
+
+
+def most_frequent(df: DataFrame, n: str, limit: int, by: str | None = None) -> DataFrame:
+    """Rows whose count ``n`` reaches the least cutoff at which at most ``limit`` rows (of each value of ``by``, a column of few
+    values) are left; counts above 1024 are told apart by powers of two. No sort: a histogram of counts gives the cutoff."""
+    step = F.when(F.col(n) <= 1024, F.col(n)).otherwise(F.pow(F.lit(2), F.floor(F.log2(F.col(n)))).cast("bigint"))
+    group = F.col(by) if by else F.lit("")
+    sizes: dict = {}
+    for r in df.groupBy(group.alias("g"), step.alias("step")).agg(F.count(F.lit(1)).alias("k")).collect():
+        sizes.setdefault(r.g, []).append((r.step, r.k))
+    cut = []
+    for g, steps in sizes.items():
+        held, least = 0, None
+        for s, k in sorted(steps, reverse=True):
+            held += k
+            if held > limit:
+                break
+            least = s
+        if least is not None:
+            cut.append((g, int(least)))
+    if not cut:
+        return df.limit(0)
+    if not by:
+        return df.filter(F.col(n) >= cut[0][1])
+    cuts = F.create_map(*[F.lit(x) for kv in cut for x in kv])
+    return df.filter(F.col(n) >= cuts[F.col(by)])

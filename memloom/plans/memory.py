@@ -8,6 +8,7 @@ from memloom.functions.text import fingerprint, image_caption_block, text
 from memloom.operators import banks, chunking, retrieval
 from memloom.plans.calls import LAST_TURNS_SQL, WORDS_SQL
 from memloom.operators.evaluation import last_record
+from memloom.operators.skew import positions
 from memloom.session import table
 
 SESSION = ["data_source", "conversation_id", "session_id"]
@@ -22,11 +23,11 @@ def last_turns(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = last_turns(spark, sf_dir, "preview_text")
-    return chunking.pack(t, SESSION, ["turn_index", "row_id"], chunking.word_count(F.col("preview_text")), TARGET)
+    return chunking.pack(t, SESSION, ["turn_index"], chunking.word_count(F.col("preview_text")), TARGET)
 
 
 def greedy_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _packed(spark, sf_dir).select(*SESSION, "turn_index", F.col("size").cast("bigint").alias("size"), "chunk")
+    return _packed(spark, sf_dir).select(*SESSION, "turn_index", "size", "chunk")
 
 
 def chunk_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,12 +57,10 @@ def image_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def image_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Images of each conversation's first turns with images, deduplicated by id and location."""
-    t = last_turns(spark, sf_dir, "images").filter(F.size("images") > 0)
-    s = t.groupBy(*SESSION).agg(F.array_sort(F.collect_list(F.struct("turn_index", "images"))).alias("s"))
-    ims = F.flatten(F.transform("s", lambda x: x["images"]))
-    out = s.select(*SESSION, F.size(ims).alias("n_before"), banks.dedupe_images(ims).alias("kept"))
-    return out.select(*SESSION, "n_before", F.size("kept").alias("n_kept"), F.array_join(F.transform("kept", lambda i: i["id"]), ",").alias("ids"))
+    """Each turn's images followed by its first one again, deduplicated by id and location."""
+    t = table(spark, sf_dir, "turns").filter(F.size("images") > 0).select("row_id", F.concat("images", F.slice("images", 1, 1)).alias("images"))
+    kept = banks.dedupe_images(F.col("images"))
+    return t.select("row_id", F.size("images").alias("n_before"), F.size(kept).alias("n_kept"), F.array_join(F.transform(kept, lambda i: i["id"]), ",").alias("ids"))
 
 
 def image_alias_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,12 +81,11 @@ def caption_in_template(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def visible_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions a question may see: all up to the last of its visible sessions."""
+    """Sessions a question may see, all up to the last of its visible sessions, and the last one's index."""
     q = table(spark, sf_dir, "questions").filter("visible_session_ids is not null")
     cp = q.select(F.lower(F.trim("conversation_id")).alias("conversation"), F.col("row_id").alias("checkpoint"), F.col("visible_session_ids").alias("covered"))
     s = table(spark, sf_dir, "turns").groupBy(F.lower(F.trim("conversation_id")).alias("conversation"), "session_id").agg(F.min("session_index").alias("session_index"))
-    out = chunking.visible_prefix(s, cp, ["conversation"])
-    return out.groupBy("checkpoint").agg(F.count(F.lit(1)).alias("sessions"), F.max("session_index").alias("last_index"))
+    return chunking.visible_counts(s, cp, ["conversation"]).select("checkpoint", "sessions", F.col("last").alias("last_index"))
 
 
 def compression_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,8 +156,8 @@ def normalise_bank_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of a conversation as bank items, objects and plain texts alternating."""
     d = table(spark, sf_dir, "documents").filter("conversation_id is not null and text is not null")
     item = F.when(F.col("doc_id") % 2 == 0, F.to_json(F.struct(F.concat(F.lit("d"), "doc_id").alias("id"), "text"))).otherwise(F.concat(F.lit("note: "), "text"))
-    s = d.groupBy("conversation_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("item")))).alias("s"))
-    out = s.select("conversation_id", F.explode(banks.normalized_items(F.transform("s", lambda x: x["item"]))).alias("x"))
+    d = positions(d.select("conversation_id", "doc_id", item.alias("item")), ["conversation_id"], ["doc_id"])
+    out = d.select("conversation_id", banks.normalized_item(F.col("item"), F.col("position")).alias("x")).filter("x.text <> ''")
     return out.select("conversation_id", F.col("x.id").alias("id"), F.sha2("x.text", 256).alias("text_sha"))
 
 

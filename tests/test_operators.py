@@ -171,3 +171,25 @@ def test_last_record_and_keys(spark):
     assert {r.k: r.v for r in evaluation.last_record(df, "k", ["t"]).collect()} == {"a": "y", "b": "z"}
     df = spark.createDataFrame([("H2HMem-Dyadic",), (" other ",), (None,)], "s string")
     assert [r[0] for r in df.select(evaluation.reporting_source(F.col("s"))).collect()] == ["h2hmem", "other", "unknown"]
+
+
+def test_positions_and_cutoffs(spark):
+    rows = [("hot", k) for k in range(3000)] + [(f"k{k % 50}", k) for k in range(500)] + [(None, k) for k in range(5)]
+    df = spark.createDataFrame(rows, "k string, i int").repartition(7)
+    got = {(r.k, r.i): r.position for r in skew.positions(df, ["k"], ["i"]).collect()}
+    assert len(got) == len(rows)
+    assert all(got["hot", k] == k for k in range(3000)) and all(got[f"k{k % 50}", k] == k // 50 for k in range(500)) and got[None, 4] == 4
+    counts = spark.createDataFrame([(g, k, n) for g in "ab" for k, n in enumerate([5000, 9, 9, 3, 3, 3, 1])], "g string, k int, n bigint")
+    assert sorted(r.n for r in skew.most_frequent(counts.filter("g = 'a'"), "n", 4).collect()) == [9, 9, 5000]
+    assert skew.most_frequent(counts, "n", 1, by="g").count() == 2
+    assert skew.most_frequent(counts.limit(0), "n", 1).count() == 0
+
+
+def test_visible(spark):
+    s = spark.createDataFrame([("c", f"s{k}", k) for k in range(1, 5)], "c string, session_id string, session_index int")
+    cp = spark.createDataFrame([("c", 1, ["s2"]), ("c", 2, ["s3", "s1"]), ("c", 3, ["none"])], "c string, checkpoint int, covered array<string>")
+    got = {}
+    for r in chunking.visible_prefix(s, cp, ["c"]).collect():
+        got.setdefault(r.checkpoint, set()).add(r.session_id)
+    assert got == {1: {"s1", "s2"}, 2: {"s1", "s2", "s3"}}
+    assert {r.checkpoint: r.sessions for r in chunking.visible_counts(s, cp, ["c"]).collect()} == {1: 2, 2: 3}
