@@ -31,6 +31,8 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from memloom.operators.skew import most_frequent
+
 #: Character pairs kept by the corpus statistics, commonest first.
 MAX_PAIRS = 400_000
 #: Distinct sets of explaining transformations brought to the driver.
@@ -300,7 +302,7 @@ def corpus_pairs(df: DataFrame, text: str = "text") -> dict[str, int]:
     pairs = words.select(
         F.explode(F.transform(F.sequence(F.lit(1), F.length("w") + 1), lambda k: F.substring(s, k, F.lit(2)))).alias("pair"), "count"
     )
-    top = pairs.groupBy("pair").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "pair").limit(MAX_PAIRS)
+    top = most_frequent(pairs.groupBy("pair").agg(F.sum("count").alias("n")), "n", MAX_PAIRS)
     return {r.pair: int(r.n) for r in top.collect()}
 
 

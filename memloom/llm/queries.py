@@ -20,14 +20,17 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.split_conflicts(q, "row_id", _WRITTEN, splits.question_entities(q), splits.split_label(F.col("split")))
 
 
-def p1_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = table(spark, sf_dir, "questions")
-    return splits.assign_splits(q, table(spark, sf_dir, "split_targets"), "row_id", _WRITTEN, splits.question_entities(q), _question_label())
+    return splits.assign_labelled(q, table(spark, sf_dir, "split_targets"), "row_id", _WRITTEN, splits.question_entities(q), _question_label())
+
+
+def p1_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _assigned(spark, sf_dir).drop("label")
 
 
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, targets = table(spark, sf_dir, "questions"), table(spark, sf_dir, "split_targets")
-    return splits.split_report(q, p1_assignment(spark, sf_dir), targets, "row_id", _question_label())
+    return splits.split_report(cut_lineage(_assigned(spark, sf_dir)), table(spark, sf_dir, "split_targets"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
