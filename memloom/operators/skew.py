@@ -40,6 +40,7 @@ def positions(df: DataFrame, keys: list[str], order: list[str], name: str = "pos
 def most_frequent(df: DataFrame, n: str, limit: int, by: str | None = None) -> DataFrame:
     """Rows whose count ``n`` reaches the least cutoff at which at most ``limit`` rows (of each value of ``by``, a column of few
     values) are left; counts above 1024 are told apart by powers of two. No sort: a histogram of counts gives the cutoff."""
+    df = cut_lineage(df)  # read twice, for the histogram and for the rows
     step = F.when(F.col(n) <= 1024, F.col(n)).otherwise(F.pow(F.lit(2), F.floor(F.log2(F.col(n)))).cast("bigint"))
     group = F.col(by) if by else F.lit("")
     sizes: dict = {}
