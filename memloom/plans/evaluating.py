@@ -8,7 +8,7 @@ from memloom.functions import text as T
 from memloom.functions.coerce import nonnegative_int
 from memloom.functions.resources import affine_latency, raw_cost
 from memloom.operators import evaluation as E
-from memloom.plans.answers import _D3, _LASTQ, _PLAIN, _TOK, _d
+from memloom.plans.answers import _ALL_BLOCKS, _BLOCKS, _D3, _FINAL, _LASTQ, _PLAIN, _TOK, _VALID, _collapse, _d, _strip
 from memloom.plans.calls import PROFILE_SQL, profiles
 from memloom.session import table
 
@@ -45,7 +45,10 @@ def report_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evaluation_report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.report_lines(E.report(evaluation_rows(spark, sf_dir)))
+    m = E.report(evaluation_rows(spark, sf_dir))
+    # Ties are lifted before digits are cut, so that the order of summation does not decide them.
+    lift = {"f1": 1e-11, "cost_per_sample": 1e-13, "latency": 1e-11, "judge_score": 1e-11}
+    return E.report_lines(m.select(*[(F.col(c) + lift[c]).alias(c) if c in lift else F.col(c) for c in m.columns]))
 
 
 def sample_mean_of_query_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,8 +118,20 @@ _ROWS = f"""p AS (SELECT * FROM {PROFILE_SQL}), j AS (SELECT row_key, status, sc
 _METRICS = """count(*) AS num_queries, count(DISTINCT (dataset_source, conversation_id)) AS num_samples, round(avg(f1) + 1e-11, 6) AS f1, round(sum(cost_usd) / count(DISTINCT (dataset_source, conversation_id)) + 1e-11, 9) AS cost_per_sample,
   round(avg(latency) + 1e-11, 6) AS latency, count(*) FILTER (judge_status = 'complete') AS judge_complete, count(*) FILTER (judge_status = 'pending') AS judge_pending, count(*) FILTER (judge_status = 'error') AS judge_error, round(avg(judge_score) + 1e-11, 6) AS judge_score"""
 
+_EXACT = _METRICS.replace("round(avg(f1) + 1e-11, 6)", "avg(f1) + 1e-11").replace("round(sum(cost_usd)", "(sum(cost_usd)").replace(" + 1e-11, 9)", " + 1e-13)").replace("round(avg(latency) + 1e-11, 6)", "avg(latency) + 1e-11").replace("round(avg(judge_score) + 1e-11, 6)", "avg(judge_score) + 1e-11")
+
+
+def _fixed(c: str, digits: int) -> str:
+    return f"CASE WHEN {c} IS NULL THEN 'N/A' ELSE printf('%.{digits}f', {c}) END"
+
+
 ORACLES = {
     "report_grouping_sets": f"WITH {_ROWS} SELECT 'overall' AS grain, 'overall' AS name, {_METRICS} FROM k UNION ALL SELECT 'dataset', dataset, {_METRICS} FROM k GROUP BY dataset UNION ALL SELECT 'type', type_key, {_METRICS} FROM k GROUP BY type_key",
+    "evaluation_report_text": f"""WITH {_ROWS}, m AS (SELECT 'overall' AS grain, 'overall' AS name, {_EXACT} FROM k UNION ALL SELECT 'dataset', dataset, {_EXACT} FROM k GROUP BY dataset UNION ALL SELECT 'type', type_key, {_EXACT} FROM k GROUP BY type_key)
+        SELECT grain, name, concat_ws(chr(10), '=== ' || name || ' ===', 'Queries: ' || num_queries, 'Samples: ' || num_samples, 'F1: ' || {_fixed('f1', 4)}, 'Judge: ' || {_fixed('judge_score', 4)} || ' (' || judge_complete || '/' || num_queries || ' successful)',
+        'Cost: ' || {_fixed('cost_per_sample', 8)} || ' USD/sample', 'Latency: ' || {_fixed('latency', 4)} || ' s/query') AS report FROM m""",
+    "replacement_counters": f"""WITH r AS (SELECT {_strip("coalesce(text, '')")} AS s FROM answers), t AS (SELECT s, CASE WHEN {_VALID} THEN {_collapse(_BLOCKS.format(x=_FINAL) + '[1]')} ELSE '' END AS strict, {_ALL_BLOCKS} AS blocks, {_collapse("regexp_replace(s, '(?i)</?answer" + chr(92) + "b[^>]*>', '', 'g')")} AS plain FROM r)
+        SELECT CASE WHEN s = '' THEN 'empty_response' WHEN strict <> '' THEN 'strict_tagged' WHEN len(blocks) > 0 THEN 'recovered_tagged' WHEN plain = '' THEN 'empty_tagged' ELSE 'plain_text_wrapped' END AS outcome, count(*) AS n FROM t GROUP BY 1""",
     "sample_mean_of_query_sum": "SELECT o_orderpriority, count(DISTINCT o_custkey) AS samples, round(sum(l_extendedprice) / count(DISTINCT o_custkey), 3) AS mean_per_sample FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1",
     "last_progress_record": f"SELECT row_key, judgement_id, status FROM {_LASTJ}",
     "progress_resume_anti": f"SELECT answer_id, row_key FROM answers WHERE row_key NOT IN (SELECT row_key FROM {_LASTJ} WHERE status = 'complete' AND row_key IS NOT NULL)",

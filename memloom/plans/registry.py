@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from memloom.plans import advantages, answers, calls, evaluating, memory, splitting, star, training
+from memloom.plans import advantages, answers, calls, evaluating, memory, reshaping, splitting, star, training
 
-_MODULES = (advantages, answers, calls, evaluating, memory, splitting, star, training)
+_MODULES = (advantages, answers, calls, evaluating, memory, reshaping, splitting, star, training)
 
 
 def queries() -> dict:
