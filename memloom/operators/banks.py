@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from memloom.functions.text import strip, text
+from memloom.session import ship
 
 
 def attach_bank(rows: DataFrame, banks: DataFrame, keys: list[str], checkpoint: str) -> DataFrame:
@@ -82,6 +83,7 @@ def flatten_items(df: DataFrame, id_col: str, item: str) -> DataFrame:
                 out += [(i, k, x, y) for k, (x, y) in enumerate(walk(node, ""))]
             yield pd.DataFrame(out, columns=["id", "position", "item_text", "item_time"])
 
+    ship(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, item).mapInPandas(work, f"id {kind}, position int, item_text string, item_time string")
 

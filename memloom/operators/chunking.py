@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from memloom.functions.text import strip, text
 from memloom.operators.skew import positions
+from memloom.session import ship
 
 
 def word_count(c: Column) -> Column:
@@ -26,6 +27,7 @@ def pack(df: DataFrame, session: list[str], order: list[str], size: Column, targ
     rows = df.select(*session, *order, size.cast("bigint").alias("size")).filter("size > 0")
     rows = rows.repartition(*session).sortWithinPartitions(*session, *order)
     n = len(session)
+    ship(df.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, chunk = None, 0, 0

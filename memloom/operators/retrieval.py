@@ -9,6 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
+from memloom.session import ship
+
 
 #: Queries matched in one pass over the documents; a pass broadcasts no more than these.
 BLOCK_QUERIES = 20_000
@@ -25,6 +27,7 @@ def top_k(queries: DataFrame, documents: DataFrame, k: int, scope: str | None =
     number of queries) and met by every document partition in tiles of a matrix product. A partition keeps k rows a
     query, so the final ranking shuffles k rows per query and partition, never a row per pair."""
     spark = documents.sparkSession
+    ship(spark)
     q = queries.select("query_id", (F.col(scope) if scope else F.lit(0)).alias("s"), "vector").filter("vector is not null")
     d = documents.select("doc_id", (F.col(scope) if scope else F.lit(0)).alias("s"), "vector").filter("vector is not null")
     blocks = max(1, -(-q.count() // block_queries))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +40,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "memloom-checkpoints"))
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable by the Python workers of all executors, once per application. The archive is
+    written on the driver and handed out by Spark; workers that have the package already are not harmed."""
+    sc = spark.sparkContext
+    root = Path(__file__).resolve().parent
+    if getattr(sc, "_memloom_shipped", False) or not root.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="memloom-")) / "memloom.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, str(Path(root.name) / p.relative_to(root)))
+    sc.addPyFile(str(archive))
+    sc._memloom_shipped = True
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and continue from there; survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -45,4 +62,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a directory of tables."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from memloom.session import ship
+
 
 def route_counts(calls: DataFrame) -> DataFrame:
     """Running totals per route; to be written in complete mode."""
@@ -72,6 +74,7 @@ def trajectory_states(steps: DataFrame) -> DataFrame:
         state.update((now, turns, calls, waiting))
         yield pd.DataFrame({"trajectory": [key[0]], "state": [now], "turns": [turns], "calls": [calls]})
 
+    ship(steps.sparkSession)
     kind = steps.schema["trajectory"].dataType.simpleString()
     return steps.groupBy("trajectory").applyInPandasWithState(
         advance, f"trajectory {kind}, state string, turns long, calls long", "now string, turns long, calls long, waiting long", "update", GroupStateTimeout.NoTimeout
