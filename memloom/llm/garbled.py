@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from memloom.operators.skew import most_frequent
+from memloom.session import ship
 
 #: Character pairs kept by the corpus statistics, commonest first.
 MAX_PAIRS = 400_000
@@ -41,7 +42,7 @@ MAX_MASKS = 50_000
 MIN_SUPPORT = 2
 #: Gain in log likelihood (nats) that makes a text a case, for transformations that twins have shown and others.
 #: A whole multi-byte sequence of UTF-8 hardly comes about by chance, so it needs less.
-MIN_GAIN = {"utf-8": (1.5, 4.0), "": (8.0, 16.0)}
+MIN_GAIN = {"utf-8": (1.5, 4.0), "": (5.5, 12.0)}
 
 #: Encodings that texts are written in, and those they are read as by mistake.
 WRITTEN = ("utf-8", "cp1252", "cp1251", "koi8_r", "cp1250", "iso8859_2", "gb18030", "big5", "cp932", "euc_jp", "euc_kr", "cp866", "mac_roman", "cp850", "cp437")
@@ -321,6 +322,7 @@ def _segments(df: DataFrame, text: str) -> DataFrame:
 
 def learn_steps(df: DataFrame, text: str, common: Commonness) -> list[Step]:
     """The transformations that twins show, best supported first."""
+    ship(df.sparkSession)
     steps = catalogue()
     sc = df.sparkSession.sparkContext
     shared = sc.broadcast(common.pairs)
@@ -352,6 +354,7 @@ def learn_steps(df: DataFrame, text: str, common: Commonness) -> list[Step]:
 
 def judged(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns, ``garbled``, ``restored`` and ``step`` of every row with non-ASCII characters."""
+    ship(df.sparkSession)
     common = Commonness(corpus_pairs(df, text))
     seen = learn_steps(df, text, common)
     unseen = [s for s in catalogue() if s not in seen]
