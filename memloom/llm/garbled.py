@@ -130,7 +130,7 @@ def _restore_once(text: str, step: Step) -> str:
         parts = []
         for piece in re.split("(�)", text):
             try:
-                parts.append(piece.encode(step.read).decode(step.written, "replace") if NON_ASCII.search(piece) else piece)
+                parts.append(piece.encode(step.read).decode(step.written, "replace") if piece != "�" and NON_ASCII.search(piece) else piece)
             except UnicodeError:
                 parts.append(piece)
         return "".join(parts)
@@ -175,17 +175,27 @@ class Commonness:
             self.single[p[1:]] += n
         self.total = sum(self.single.values()) + 1
         self.memo: dict[str, float] = {}
+        self.logs: dict[str, float] = {}
+
+    def _pair(self, pair: str) -> float:
+        a, b = pair
+        base = (self.single.get(b, 0) + 0.02) / (self.total + 2000)
+        known = self.logs[pair] = math.log((self.pairs.get(pair, 0) + 2.0 * base) / (self.first.get(a, 0) + 2.0))
+        if len(self.logs) > 2_000_000:
+            self.logs.clear()
+        return known
 
-    def of(self, word: str) -> float:
+    def of(self, word: str, floor: float = -math.inf) -> float:
+        """Log likelihood; -inf as soon as it is below ``floor``, as every further pair lowers it."""
         known = self.memo.get(word)
         if known is not None:
             return known
-        s, total = f" {word} ", 0.0
-        single, first, pairs, all_ = self.single, self.first, self.pairs, self.total
-        for k in range(len(s) - 1):
-            a, b = s[k], s[k + 1]
-            base = (single.get(b, 0) + 0.02) / (all_ + 2000)
-            total += math.log((pairs.get(a + b, 0) + 2.0 * base) / (first.get(a, 0) + 2.0))
+        s, total, logs = f" {word} ", 0.0, self.logs
+        for a, b in zip(s, s[1:]):
+            x = logs.get(a + b)
+            total += self._pair(a + b) if x is None else x
+            if total < floor:
+                return -math.inf
         if len(self.memo) > 500_000:
             self.memo.clear()
         self.memo[word] = total
@@ -198,6 +208,31 @@ class Commonness:
         return sum(map(self.of, words)) / n if n else 0.0
 
 
+def readings(word: str) -> tuple[set[str], set[str]]:
+    """Encodings that ``word`` may have been read as: those that can undo a single-byte or multi-byte reading of it, and
+    those of them in which it holds the beginning of a UTF-8 sequence. Others leave the word as it is."""
+    odd = [c for c in word if c > "\x7f"]
+    able, utf8 = set(), set()
+    for enc in SINGLE:
+        back = TO_BYTE[enc]
+        raw = [b for c in odd if (b := back.get(c)) is not None]
+        if raw:
+            able.add(enc)
+            if any(0xC2 <= b <= 0xF4 for b in raw):
+                utf8.add(enc)
+    for enc in READ_AS:
+        if enc not in SINGLE:
+            for piece in word.split("\ufffd"):
+                try:
+                    if NON_ASCII.search(piece) and piece.encode(enc):
+                        able.add(enc)
+                        utf8.add(enc)
+                        break
+                except UnicodeEncodeError:
+                    continue
+    return able, utf8
+
+
 @dataclass
 class Judge:
     """Applies learned transformations to texts."""
@@ -212,10 +247,14 @@ class Judge:
         known = self.memo.get(word)
         if known is None:
             now, known = self.common.of(word), []
+            able, utf8 = readings(word)
             for k, step in enumerate([*self.seen, *self.unseen]):
+                if step.read not in (utf8 if step.written == "utf-8" else able):
+                    continue
                 back = restore(word, step)
                 if back != word:
-                    gain = self.common.of(back) - now - 6.0 * back.count("�")
+                    least = now + 6.0 * back.count("�") + 0.5
+                    gain = self.common.of(back, least) - least + 0.5 if least < 0 else -1.0
                     if gain > 0.5:
                         known.append((k, gain, back))
             if len(self.memo) > 300_000:

@@ -65,3 +65,11 @@ def test_empty_and_clashing(spark):
     assert garbled.garbled_documents(df, "doc_id").count() == 0
     df = spark.createDataFrame([(None, None, "x", "y"), (1, "é" * 30_000, None, None)], "doc_id bigint, text string, garbled string, w string")
     assert garbled.garbled_documents(df, "doc_id").count() == 0
+
+
+@pytest.mark.parametrize("word", ["CrÃ¨me", "日本語の文", "Ã\x81b", "ÄÖÜ", "縺ゅｊ縺�", "piñata", "Р°С‚", "ÕÕÆ¬", "한국어", "x�y", "é"])
+def test_readings_leave_nothing_out(word):
+    able, utf8 = garbled.readings(word)
+    for step in catalogue():
+        if step.read not in (utf8 if step.written == "utf-8" else able):
+            assert restore(word, step) == word
