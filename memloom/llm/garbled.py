@@ -86,6 +86,19 @@ for _enc in ("cp1252", "cp1250", "cp1251"):
         TO_BYTE[_enc].setdefault(chr(_b), _b)
 
 
+#: For ``str.translate``: characters of an encoding to those of the same byte in Latin-1, and from one encoding to another.
+TO_LATIN = {enc: {ord(c): chr(b) for c, b in t.items()} for enc, t in TO_BYTE.items()}
+STRETCH = {enc: re.compile("[" + "".join(map(re.escape, t)) + "]+") for enc, t in TO_BYTE.items()}
+_translations: dict[tuple[str, str], dict[int, str]] = {}
+
+
+def _translation(written: str, read: str) -> dict[int, str]:
+    if (written, read) not in _translations:
+        to = TO_CHAR[written]
+        _translations[written, read] = {ord(c): to[b] for c, b in TO_BYTE[read].items() if c > "\x7f"}
+    return _translations[written, read]
+
+
 def garble(text: str, step: Step) -> str | None:
     """What ``text`` becomes by ``step``."""
     for _ in range(step.times):
@@ -147,20 +160,10 @@ def _restore_once(text: str, step: Step) -> str:
                 k += 1
         return "".join(out)
     if step.written in SINGLE:
-        to = TO_CHAR[step.written]
-        return "".join(to[back[c]] if c > "\x7f" and c in back else c for c in text)
+        return text.translate(_translation(step.written, step.read))
     # Multi-byte: stretches whose characters all are bytes; ASCII inside may be a second byte.
-    out, held = [], bytearray()
-    for c in text + "\0":
-        b = back.get(c)
-        if b is not None and c != "\0":
-            held.append(b)
-            continue
-        if held:
-            out.append(bytes(held).decode(step.written, "replace"))
-            held = bytearray()
-        out.append(c)
-    return "".join(out)[:-1]
+    latin = TO_LATIN[step.read]
+    return STRETCH[step.read].sub(lambda m: m.group().translate(latin).encode("latin-1").decode(step.written, "replace"), text)
 
 
 class Commonness:
