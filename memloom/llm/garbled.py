@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from memloom.operators.skew import most_frequent
-from memloom.session import ship
+from memloom.session import ship, spread
 
 #: Character pairs kept by the corpus statistics, commonest first.
 MAX_PAIRS = 400_000
@@ -414,7 +414,7 @@ def judged(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[b.column(k) for k in range(n)], *cols], names=[*b.schema.names[:n], "garbled", "restored", "step"])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in slim.schema.fields[:n])
-    return slim.mapInArrow(work, fields + "garbled boolean, restored string, step string")
+    return spread(slim).mapInArrow(work, fields + "garbled boolean, restored string, step string")
 
 
 def garbled_documents(df: DataFrame, id_col: str, text: str = "text") -> DataFrame:

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from memloom.session import ship
+from memloom.session import ship, spread
 
 #: Words kept by a worker before its table is emptied.
 MEMO_WORDS = 1_000_000
@@ -209,7 +209,7 @@ def _mapped(df: DataFrame, keep: list[str], text: str, vocabulary: str | None, c
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _encoded(path, batches, count_only)
 
-    return slim.mapInArrow(work, f"{fields}, {out}" if fields else out)
+    return spread(slim).mapInArrow(work, f"{fields}, {out}" if fields else out)
 
 
 def encode_corpus(df: DataFrame, keep: list[str], text: str = "text", vocabulary: str | None = None) -> DataFrame:
