@@ -268,9 +268,10 @@ class Judge:
     def judge(self, text: str) -> tuple[bool, str, str | None]:
         """(whether a case, the text with what can be restored, the main transformation)."""
         words = [w for w in set(_WORD.findall(text)) if NON_ASCII.search(w)]
+        of_word = {w: self._options(w) for w in words}  # held here, as the memo may be emptied within a text
         gains: Counter[int] = Counter()
-        for w in words:
-            for k, gain, _ in self._options(w):
+        for options in of_word.values():
+            for k, gain, _ in options:
                 gains[k] += gain
         steps = [*self.seen, *self.unseen]
         kept = [k for k, g in gains.items() if g >= MIN_GAIN.get(steps[k].written, MIN_GAIN[""])[k >= len(self.seen)]]
@@ -280,7 +281,7 @@ class Judge:
         allowed = set(kept)
 
         def better(m: re.Match) -> str:
-            options = [o for o in self.memo.get(m.group(), ()) if o[0] in allowed]
+            options = [o for o in of_word.get(m.group(), ()) if o[0] in allowed]
             return max(options, key=lambda o: (o[1], -o[0]))[2] if options else m.group()
 
         return True, _WORD.sub(better, text), steps[kept[0]].name

@@ -73,3 +73,15 @@ def test_readings_leave_nothing_out(word):
     for step in catalogue():
         if step.read not in (utf8 if step.written == "utf-8" else able):
             assert restore(word, step) == word
+
+
+def test_text_restored_whole_when_the_memo_is_emptied():
+    clean = CLEAN[0]
+    pairs = {}
+    for w in clean.split():
+        for a, b in zip(f" {w} ", f"{w} "):
+            pairs[a + b] = pairs.get(a + b, 0) + 100
+    step = Step("utf-8", "cp1252")
+    judge = garbled.Judge(garbled.Commonness(pairs), [step], [])
+    judge.memo.update((str(k), []) for k in range(300_000))
+    assert judge.judge(garble(clean, step)) == (True, clean, step.name)
