@@ -13,8 +13,8 @@ they stay.
 Plan. Three narrow passes over the texts and small shuffles: distinct words with non-ASCII characters, distinct
 segments with non-ASCII characters, one row per twin. The clean twin of a set is an aggregate (``max``), and
 every segment meets that one row only: work is linear in the segments, whatever the size of a set. To the
-driver come the pair statistics (at most ``MAX_PAIRS`` rows) and the counts of noted transformations (at most
-``MAX_MASKS`` rows).
+driver come the pair statistics, all of them at 16 bytes a distinct pair of characters, and the counts of the noted sets of
+transformations; where these are more than ``MAX_MASKS``, each round of the cover is an aggregate over all of them instead.
 
 Defined results: null, empty and pure ASCII texts are no cases and come back as they are; repeated rows are
 judged alike; texts are judged whole; U+FFFD marks a lossy wrong decoding, so a text that holds it is a case.
@@ -24,19 +24,19 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from memloom.operators.skew import most_frequent
-from memloom.session import ship, spread
+from memloom.session import cut_lineage, ship, spread
 
-#: Character pairs kept by the corpus statistics, commonest first.
-MAX_PAIRS = 400_000
-#: Distinct sets of explaining transformations brought to the driver.
+#: Distinct sets of explaining transformations up to which they are brought to the driver.
 MAX_MASKS = 50_000
 #: Aligned runs, different from each other, that a transformation must explain to be learned.
 MIN_SUPPORT = 2
@@ -166,16 +166,48 @@ def _restore_once(text: str, step: Step) -> str:
     return STRETCH[step.read].sub(lambda m: m.group().translate(latin).encode("latin-1").decode(step.written, "replace"), text)
 
 
+class PairCounts:
+    """Counts of character pairs, sorted by the code of the pair; 16 bytes a pair, as all pairs of a corpus are kept."""
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray):
+        order = np.argsort(codes)
+        self.codes, self.counts = array("Q", codes[order].astype(np.uint64).tobytes()), array("q", counts[order].astype(np.int64).tobytes())
+
+    @classmethod
+    def of(cls, pairs: list[str], counts: np.ndarray) -> PairCounts:
+        return cls(cls.encode(pairs), counts)
+
+    @staticmethod
+    def encode(pairs: list[str]) -> np.ndarray:
+        both = np.frombuffer("".join(pairs).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, 2).astype(np.uint64)
+        return both[:, 0] << np.uint64(32) | both[:, 1]
+
+    def __len__(self) -> int:
+        return len(self.codes)
+
+    def get(self, pair: str, default: int = 0) -> int:
+        code = ord(pair[0]) << 32 | ord(pair[1])
+        k = bisect_left(self.codes, code)
+        return self.counts[k] if k < len(self.codes) and self.codes[k] == code else default
+
+    def totals(self) -> tuple[dict[str, int], dict[str, int]]:
+        """Sums by the first and by the second character."""
+        codes, counts = np.frombuffer(self.codes, np.uint64), np.frombuffer(self.counts, np.int64)
+        out = []
+        for part in (codes >> np.uint64(32), codes & np.uint64(0xFFFFFFFF)):
+            chars, at = np.unique(part, return_inverse=True)
+            sums = np.zeros(len(chars), np.int64)
+            np.add.at(sums, at, counts)
+            out.append(dict(zip(map(chr, chars.tolist()), sums.tolist())))
+        return out[0], out[1]
+
+
 class Commonness:
     """Log likelihood of words by character pairs, with single characters to fall back on."""
 
-    def __init__(self, pairs: dict[str, int]):
-        self.pairs = pairs
-        self.single: Counter[str] = Counter()
-        self.first: Counter[str] = Counter()
-        for p, n in pairs.items():
-            self.first[p[0]] += n
-            self.single[p[1:]] += n
+    def __init__(self, pairs: PairCounts | dict[str, int]):
+        self.pairs = PairCounts.of(list(pairs), np.array(list(pairs.values()), np.int64)) if isinstance(pairs, dict) else pairs
+        self.first, self.single = self.pairs.totals()
         self.total = sum(self.single.values()) + 1
         self.memo: dict[str, float] = {}
         self.logs: dict[str, float] = {}
@@ -333,8 +365,8 @@ def _texts(df: DataFrame, text: str) -> DataFrame:
     return df.select(F.col(f"`{text}`").cast("string").alias("text")).filter(F.col("text").rlike(r"[^\x00-\x7F]"))
 
 
-def corpus_pairs(df: DataFrame, text: str = "text") -> dict[str, int]:
-    """Counts of character pairs in the words with non-ASCII characters of all texts; the commonest MAX_PAIRS."""
+def corpus_pairs(df: DataFrame, text: str = "text") -> PairCounts:
+    """Counts of all character pairs in the words with non-ASCII characters of all texts."""
     words = (
         _texts(df, text)
         .select(F.explode(F.split("text", r"[ \t\r\n]+")).alias("w"))
@@ -346,8 +378,9 @@ def corpus_pairs(df: DataFrame, text: str = "text") -> dict[str, int]:
     pairs = words.select(
         F.explode(F.transform(F.sequence(F.lit(1), F.length("w") + 1), lambda k: F.substring(s, k, F.lit(2)))).alias("pair"), "count"
     )
-    top = most_frequent(pairs.groupBy("pair").agg(F.sum("count").alias("n")), "n", MAX_PAIRS)
-    return {r.pair: int(r.n) for r in top.collect()}
+    counted = pairs.groupBy("pair").agg(F.sum("count").alias("n")).toArrow()
+    codes = [PairCounts.encode(b.column(0).to_pylist()) for b in counted.to_batches()]
+    return PairCounts(np.concatenate([np.empty(0, np.uint64), *codes]), counted.column(1).to_numpy())
 
 
 def _segments(df: DataFrame, text: str) -> DataFrame:
@@ -391,8 +424,23 @@ def learn_steps(df: DataFrame, text: str, common: Commonness) -> list[Step]:
             )
 
     runs = twins.mapInArrow(explain, "wrong string, right string, mask array<int>").distinct()
-    counts = runs.groupBy("mask").count().orderBy(F.desc("count")).limit(MAX_MASKS).collect()
-    return cover({tuple(r["mask"]): r["count"] for r in counts}, steps, MIN_SUPPORT)
+    counts = runs.groupBy("mask").count()
+    few = counts.limit(MAX_MASKS + 1).collect()
+    if len(few) > MAX_MASKS:
+        return cover_rows(counts, steps, MIN_SUPPORT)
+    return cover({tuple(r["mask"]): r["count"] for r in few}, steps, MIN_SUPPORT)
+
+
+def cover_rows(counts: DataFrame, steps: list[Step], least: int) -> list[Step]:
+    """``cover`` of masks that are rows (mask, count): one aggregate a round, at most one round a transformation."""
+    counts, taken = cut_lineage(counts), []
+    while True:
+        left = counts.filter(~F.arrays_overlap("mask", F.array(*map(F.lit, taken)))) if taken else counts
+        votes = left.select(F.explode("mask").alias("k"), "count").groupBy("k").agg(F.sum("count").alias("n"))
+        best = votes.orderBy(F.desc("n"), "k").first()
+        if best is None or best.n < least:
+            return [steps[k] for k in taken]
+        taken.append(best.k)
 
 
 def judged(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:

@@ -85,3 +85,21 @@ def test_text_restored_whole_when_the_memo_is_emptied():
     judge = garbled.Judge(garbled.Commonness(pairs), [step], [])
     judge.memo.update((str(k), []) for k in range(300_000))
     assert judge.judge(garble(clean, step)) == (True, clean, step.name)
+
+
+def test_all_pairs_of_a_large_alphabet_are_counted(spark):
+    chars = [chr(0x4E00 + k) for k in range(650)]
+    df = spark.createDataFrame([(" ".join(a + b for b in chars),) for a in chars], "text string")
+    pairs = garbled.corpus_pairs(df)
+    assert len(pairs) == 650 * 650 + 2 * 650
+    assert pairs.get(chars[3] + chars[640]) == 1 and pairs.get(" " + chars[5]) == 650 and pairs.get("xy") == 0
+    common = garbled.Commonness(pairs)
+    assert common.single[" "] == common.first[" "] == 650 * 650
+
+
+def test_steps_do_not_depend_on_the_number_of_masks(spark, monkeypatch):
+    df = spark.createDataFrame(corpus()[0], "doc_id bigint, text string")
+    common = garbled.Commonness(garbled.corpus_pairs(df))
+    want = garbled.learn_steps(df, "text", common)
+    monkeypatch.setattr(garbled, "MAX_MASKS", 1)
+    assert len(want) > 1 and garbled.learn_steps(df, "text", common) == want
