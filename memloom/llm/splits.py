@@ -191,13 +191,13 @@ def _small_unit(slot: Column, key: Column) -> Column:
 
 
 def split_report(assigned: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row per split: target and actual share, rows, groups, and the largest difference, over the thousand commonest labels,
-    between a label's share in the split and in the whole. ``assigned``: of ``assign_labelled``."""
+    """One row per split: target and actual share, rows, groups, and the largest difference, over all labels, between a
+    label's share in the split and in the whole. ``assigned``: of ``assign_labelled``."""
     cells = cut_lineage(assigned.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n")))
     whole = cells.groupBy("label").agg(F.sum("n").alias("label_n")).crossJoin(F.broadcast(cells.agg(F.sum("n").alias("total"))))
     per = cells.groupBy("split").agg(F.sum("n").alias("split_n"))
     deviation = (
-        per.crossJoin(F.broadcast(whole.orderBy(F.desc("label_n"), "label").limit(1000)))
+        whole.crossJoin(F.broadcast(per))
         .join(cells, ["split", "label"], "left")
         .groupBy("split")
         .agg(F.max(F.abs(F.coalesce("n", F.lit(0)) / F.col("split_n") - F.col("label_n") / F.col("total"))).alias("max_label_deviation"), F.max("split_n").alias("rows"), F.max("total").alias("total"))

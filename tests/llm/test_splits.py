@@ -100,3 +100,11 @@ def test_greedy_reaches_targets():
     for s, share in enumerate((0.7, 0.1, 0.2)):
         assert abs(sizes[chosen == s].sum() / sizes.sum() - share) < 0.002
         assert np.abs(sizes[chosen == s].sum(axis=0) / sizes.sum(axis=0) - share).max() < 0.01
+
+
+def test_report_is_over_all_labels(spark):
+    rows = [(k, f"g{k}", "train", f"l{k % 1000}") for k in range(2000)] + [(2000, "g", "test", "rare")]
+    got = splits.split_report(spark.createDataFrame(rows, "id bigint, group_id string, split string, label string"), targets(spark))
+    report = {r.split: r for r in got.collect()}
+    assert report["test"].max_label_deviation == pytest.approx(2000 / 2001)
+    assert report["train"].rows == 2000 and report["val"].rows == 0
