@@ -56,20 +56,26 @@ def group_split(groups: DataFrame, key: str, label: str, train: float, validatio
 
 def stratum_counts(sizes: dict, holdout: int, ratio: float, seed: int = 13) -> dict:
     """How many of each stratum are held out, exactly ``holdout`` in all: one at a time to the stratum with the largest
-    deficit; at least one on either side of every stratum of two where that is feasible. Few strata, so on the driver."""
+    deficit; at least one on either side of every stratum of two where that is feasible. Strata are few beside rows, so on the driver."""
     import hashlib
+    import heapq
 
-    order = {s: hashlib.sha256(f"{seed}\0{s}".encode()).hexdigest() for s in sizes}
+    order = {s: int(hashlib.sha256(f"{seed}\0{s}".encode()).hexdigest(), 16) for s in sizes}
     pairs = [s for s, n in sizes.items() if n >= 2]
     both = holdout >= len(pairs) and sum(sizes.values()) - holdout >= len(pairs)
     cap = {s: n - 1 if both and n >= 2 else n for s, n in sizes.items()}
     out = {s: int(both and n >= 2) for s, n in sizes.items()}
-    while sum(out.values()) < holdout:
-        open_ = [s for s in sizes if out[s] < cap[s]]
-        if not open_:
+    deficits = [(out[s] - sizes[s] * ratio, -order[s], s) for s in sizes if out[s] < cap[s]]
+    heapq.heapify(deficits)
+    for _ in range(holdout - sum(out.values())):
+        if not deficits:
             raise ValueError("the holdout cannot be reached")
-        s = max(open_, key=lambda s: (sizes[s] * ratio - out[s], order[s]))
+        s = deficits[0][2]
         out[s] += 1
+        if out[s] < cap[s]:
+            heapq.heapreplace(deficits, (out[s] - sizes[s] * ratio, -order[s], s))
+        else:
+            heapq.heappop(deficits)
     return out
 
 

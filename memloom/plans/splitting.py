@@ -37,7 +37,7 @@ def split_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stratified_split_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents held out by stratum (kind), a fifth in all, the least by hash within each."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("doc_kind", F.lit("")).alias("kind"))
-    sizes = {r.kind: r.n for r in d.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).orderBy("kind").limit(1000).collect()}
+    sizes = {r.kind: r.n for r in d.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).orderBy("kind").collect()}
     total = sum(sizes.values())
     counts = S.stratum_counts(sizes, round(total * 0.2), 0.2)
     want = F.broadcast(spark.createDataFrame(sorted(counts.items()), "kind string, held bigint"))

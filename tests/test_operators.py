@@ -145,6 +145,16 @@ def test_stratum_counts():
         splitting.stratum_counts({"a": 1}, 2, 0.5)
 
 
+def test_stratified_split_keeps_all_strata(spark, tmp_path):
+    from memloom.plans.splitting import stratified_split_hash
+
+    rows = [(f"d{k}", f"kind {k % 1200}") for k in range(6000)]
+    spark.createDataFrame(rows, "doc_id string, doc_kind string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = stratified_split_hash(spark, str(tmp_path)).collect()
+    assert len(got) == 6000 and len({r.kind for r in got}) == 1200
+    assert sum(r.split == "test" for r in got) == 1200
+
+
 def test_checks(spark):
     df = spark.createDataFrame([("s", "a"), ("s", "a"), ("s", " "), ("t", "a"), ("t", None)], "s string, k string")
     assert checks.blank_or_repeated(df, ["s"], "k").count() == 3
