@@ -1,23 +1,23 @@
 """Text that was decoded with a wrong character encoding: find it and restore it.
 
-Method. (1) Segments (lines and sentences) that hold non-ASCII characters are joined with their near-twins:
-segments that are equal once non-ASCII characters are stripped and digits levelled. Of each set of twins the
-one whose characters are commonest in the corpus is taken as the clean one; every other is paired with it.
-(2) Aligned by their common ASCII characters, a pair yields runs that differ; for each such run the
-transformations of a fixed list (written in encoding A, read as B) that turn the clean run into the other are
-noted, and a greedy cover of all noted runs gives the learned transformations. (3) The learned transformations
-are applied backwards to all records; a restored stretch is taken where it is commoner than what stands there
-by the character-pair statistics of the whole corpus. Odd characters that are right gain nothing by this, so
-they stay.
-
-Plan. Three narrow passes over the texts and small shuffles: distinct words with non-ASCII characters, distinct
-segments with non-ASCII characters, one row per twin. The clean twin of a set is an aggregate (``max``), and
-every segment meets that one row only: work is linear in the segments, whatever the size of a set. To the
-driver come the pair statistics, all of them at 16 bytes a distinct pair of characters, and the counts of the noted sets of
-transformations; where these are more than ``MAX_MASKS``, each round of the cover is an aggregate over all of them instead.
+Method. (1) Segments (lines and sentences) that hold non-ASCII characters are joined with their near-twins: segments with the same frame,
+which is the segment with each run of non-ASCII characters stripped to a mark and digits levelled. Where a frame has too few ASCII letters to tell
+segments apart (Cyrillic, Chinese), the lengths of the runs belong to the key: in characters for the segment as it stands; in
+characters, in UTF-8 bytes and in double bytes for what it may have been. Of a key's segments the commonest is met by all others.
+(2) Aligned by their marks, two twins yield pairs of runs that differ; of a pair the run of the commoner characters is the right one. A pair is a mapping of characters to what they became. Mappings are generalised to transformations (written in encoding A, read as B) that
+explain them exactly; each mapping speaks for the one that explains most mappings, and a transformation is learned if mappings of
+``MIN_SUPPORT`` characters speak for it. Mappings of single characters that no transformation explains are learned as
+they are if enough twins show them and nothing else. Characters that became U+FFFD are a learned loss. (3) What is learned, and
+nothing else, is applied backwards to all records; a restored stretch is taken where it is commoner than what stands there by the
+character-pair statistics of the whole corpus. Odd characters that are right gain nothing by this, so they stay.
+
+Plan. Three narrow passes over the texts and small shuffles: distinct words with non-ASCII characters, distinct frames with their runs, distinct
+pairs of runs. A key's commonest segment is an aggregate, and every segment meets that one row (one of each way of
+measuring) only, by a join that no key can skew: work is linear in the segments. To the driver come the pair statistics, 16 bytes
+a distinct pair of characters, the votes of the transformations, and the single-character mappings.
 
 Defined results: null, empty and pure ASCII texts are no cases and come back as they are; repeated rows are
-judged alike; texts are judged whole; U+FFFD marks a lossy wrong decoding, so a text that holds it is a case.
+judged alike; texts are judged whole; a text with U+FFFD is a case once twins show that characters became it.
 """
 
 from __future__ import annotations
@@ -32,17 +32,22 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
+from memloom.operators.skew import join_unique
 from memloom.session import cut_lineage, ship, spread
 
-#: Distinct sets of explaining transformations up to which they are brought to the driver.
-MAX_MASKS = 50_000
-#: Aligned runs, different from each other, that a transformation must explain to be learned.
-MIN_SUPPORT = 2
-#: Gain in log likelihood (nats) that makes a text a case, for transformations that twins have shown and others.
-#: A whole multi-byte sequence of UTF-8 hardly comes about by chance, so it needs less.
-MIN_GAIN = {"utf-8": (1.5, 4.0), "": (5.5, 12.0)}
+#: Distinct clean characters whose mappings must speak for a transformation, and twins that must show the mapping of a single character.
+MIN_SUPPORT, MIN_TWINS = 2, 3
+#: Share of a string's mappings that must lead to one character for that mapping to be learned as it is.
+PURITY = 0.9
+#: Share of the segments that hold such a string which must have a twin that shows its mapping.
+SHOWN = 0.05
+#: ASCII letters from which a frame alone makes twins.
+FRAME_LETTERS = 8
+#: Gain in log likelihood (nats) that makes a text a case. A whole multi-byte sequence of UTF-8 hardly comes about by chance, so it
+#: needs less, and so does a string that twins show to be wrong.
+MIN_GAIN = {"utf-8": 1.5, "shown": 1.5, "": 5.5}
 
 #: Encodings that texts are written in, and those they are read as by mistake.
 WRITTEN = ("utf-8", "cp1252", "cp1251", "koi8_r", "cp1250", "iso8859_2", "gb18030", "big5", "cp932", "euc_jp", "euc_kr", "cp866", "mac_roman", "cp850", "cp437")
@@ -66,6 +71,23 @@ class Step:
         return f"{self.written} read as {self.read}" + (", twice" if self.times == 2 else "")
 
 
+class Substitution:
+    """Mappings of single characters that twins show and no transformation explains."""
+
+    written, read, name = "shown", "", "substitution shown by twins"
+
+    def __init__(self, pairs: dict[str, str]):
+        self.pairs = pairs
+        self.pattern = re.compile("|".join(map(re.escape, sorted(pairs, key=len, reverse=True))))
+
+    def restore(self, text: str) -> str:
+        return self.pattern.sub(lambda m: self.pairs[m.group()], text)
+
+
+#: Name of the learned loss of characters.
+LOST = "characters lost"
+
+
 def catalogue() -> list[Step]:
     one = [Step(w, r) for w in WRITTEN for r in READ_AS if w != r and not (w == "cp1252" and r in ("latin_1", "iso8859_15"))]
     two = [Step("utf-8", r, 2) for r in ("cp1252", "latin_1", "cp1250", "mac_roman", "cp437", "cp850")]
@@ -131,8 +153,10 @@ def _utf8_back(raw: list[int | str]) -> list[str]:
     return out
 
 
-def restore(text: str, step: Step) -> str:
+def restore(text: str, step: Step | Substitution) -> str:
     """``text`` with ``step`` undone wherever that is possible; other characters stay."""
+    if isinstance(step, Substitution):
+        return step.restore(text)
     for _ in range(step.times):
         text = _restore_once(text, step)
     return text
@@ -220,6 +244,10 @@ class Commonness:
             self.logs.clear()
         return known
 
+    def frequency(self, text: str) -> float:
+        """Mean log frequency of the characters."""
+        return sum(math.log(self.single.get(c, 0) + 0.5) for c in text) / len(text)
+
     def of(self, word: str, floor: float = -math.inf) -> float:
         """Log likelihood; -inf as soon as it is below ``floor``, as every further pair lowers it."""
         known = self.memo.get(word)
@@ -236,27 +264,21 @@ class Commonness:
         self.memo[word] = total
         return total
 
-    def per_character(self, text: str) -> float:
-        """Mean likelihood of the words with non-ASCII characters."""
-        words = [w for w in _WORD.findall(text) if NON_ASCII.search(w)]
-        n = sum(len(w) + 1 for w in words)
-        return sum(map(self.of, words)) / n if n else 0.0
-
 
-def readings(word: str) -> tuple[set[str], set[str]]:
-    """Encodings that ``word`` may have been read as: those that can undo a single-byte or multi-byte reading of it, and
+def readings(word: str, encodings: frozenset[str] = frozenset(READ_AS)) -> tuple[set[str], set[str]]:
+    """Those of ``encodings`` that ``word`` may have been read as: those that can undo a single-byte or multi-byte reading of it, and
     those of them in which it holds the beginning of a UTF-8 sequence. Others leave the word as it is."""
     odd = [c for c in word if c > "\x7f"]
     able, utf8 = set(), set()
-    for enc in SINGLE:
+    for enc in SINGLE & encodings:
         back = TO_BYTE[enc]
         raw = [b for c in odd if (b := back.get(c)) is not None]
         if raw:
             able.add(enc)
             if any(0xC2 <= b <= 0xF4 for b in raw):
                 utf8.add(enc)
-    for enc in READ_AS:
-        if enc not in SINGLE:
+    for enc in encodings:
+        if enc and enc not in SINGLE:
             for piece in word.split("\ufffd"):
                 try:
                     if NON_ASCII.search(piece) and piece.encode(enc):
@@ -270,24 +292,28 @@ def readings(word: str) -> tuple[set[str], set[str]]:
 
 @dataclass
 class Judge:
-    """Applies learned transformations to texts."""
+    """Applies what was learned to texts."""
 
     common: Commonness
-    seen: list[Step]
-    unseen: list[Step]
+    steps: list[Step | Substitution]
+    lost: bool = False
     memo: dict[str, list[tuple[int, float, str]]] = field(default_factory=dict)
 
+    def __post_init__(self):
+        self.encodings = frozenset(s.read for s in self.steps if s.read)
+
     def _options(self, word: str) -> list[tuple[int, float, str]]:
         """(transformation, gain, restored word) of each transformation that gains."""
         known = self.memo.get(word)
         if known is None:
-            now, known = self.common.of(word), []
-            able, utf8 = readings(word)
-            for k, step in enumerate([*self.seen, *self.unseen]):
-                if step.read not in (utf8 if step.written == "utf-8" else able):
+            now, known = None, []
+            able, utf8 = readings(word, self.encodings)
+            for k, step in enumerate(self.steps):
+                if step.read and step.read not in (utf8 if step.written == "utf-8" else able):
                     continue
                 back = restore(word, step)
                 if back != word:
+                    now = self.common.of(word) if now is None else now
                     least = now + 6.0 * back.count("�") + 0.5
                     gain = self.common.of(back, least) - least + 0.5 if least < 0 else -1.0
                     if gain > 0.5:
@@ -305,10 +331,10 @@ class Judge:
         for options in of_word.values():
             for k, gain, _ in options:
                 gains[k] += gain
-        steps = [*self.seen, *self.unseen]
-        kept = [k for k, g in gains.items() if g >= MIN_GAIN.get(steps[k].written, MIN_GAIN[""])[k >= len(self.seen)]]
+        kept = [k for k, g in gains.items() if g >= MIN_GAIN.get(self.steps[k].written, MIN_GAIN[""])]
         if not kept:
-            return "�" in text, text, None
+            lost = self.lost and "�" in text
+            return lost, text, LOST if lost else None
         kept.sort(key=lambda k: (-gains[k], k))
         allowed = set(kept)
 
@@ -316,46 +342,34 @@ class Judge:
             options = [o for o in of_word.get(m.group(), ()) if o[0] in allowed]
             return max(options, key=lambda o: (o[1], -o[0]))[2] if options else m.group()
 
-        return True, _WORD.sub(better, text), steps[kept[0]].name
-
-
-def skeleton(text: str) -> str:
-    """``text`` without non-ASCII characters, digits levelled, white space collapsed."""
-    return " ".join(re.sub(r"\d+", "0", NON_ASCII.sub("", text)).split())
-
+        return True, _WORD.sub(better, text), self.steps[kept[0]].name
 
-def aligned_runs(a: str, b: str) -> list[tuple[str, str]]:
-    """Runs of non-ASCII characters that differ at the same place of the common ASCII characters."""
 
-    def runs(s: str) -> dict[int, str]:
-        out, at, last = {}, 0, 0
-        for m in NON_ASCII.finditer(s):
-            at += len(re.sub(r"\d+", "0", s[last : m.start()]))
-            out[at], last = m.group(), m.end()
-        return out
+class Explainer:
+    """Tells the transformations that turn a right run into a wrong one."""
 
-    ra, rb = runs(a), runs(b)
-    return [(ra[k], rb[k]) for k in ra.keys() & rb.keys() if ra[k] != rb[k]]
+    def __init__(self, steps: list[Step]):
+        self.steps = steps
+        self.single = [k for k, s in enumerate(steps) if s.read in SINGLE]
+        self.multi = [k for k, s in enumerate(steps) if s.read not in SINGLE]
+        self.first: dict[str, dict[str, list[int]]] = {}
 
+    def _beginnings(self, c: str) -> dict[str, list[int]]:
+        known = self.first.get(c)
+        if known is None:
+            known = self.first[c] = {}
+            for k in self.single:
+                g = garble(c, self.steps[k])
+                if g is not None and g != c:
+                    known.setdefault(g, []).append(k)
+        return known
 
-def explaining(wrong: str, right: str, steps: list[Step]) -> list[int]:
-    return [k for k, s in enumerate(steps) if garble(right, s) == wrong]
-
-
-def cover(masks: dict[tuple[int, ...], int], steps: list[Step], least: int) -> list[Step]:
-    """Greedy cover: the transformation that explains most runs, then the one that explains most of the rest."""
-    left, out = dict(masks), []
-    while left:
-        votes: Counter[int] = Counter()
-        for m, n in left.items():
-            for k in m:
-                votes[k] += n
-        k, n = min(votes.items(), key=lambda x: (-x[1], x[0]))
-        if n < least:
-            break
-        out.append(steps[k])
-        left = {m: n for m, n in left.items() if k not in m}
-    return out
+    def explain(self, wrong: str, right: str) -> list[int]:
+        # Read by one byte a character, a run begins with what its first character becomes.
+        some = [k for g, ks in self._beginnings(right[0]).items() if wrong.startswith(g) for k in ks]
+        if wrong[0] > "\u2e7f" or "�" in wrong:
+            some += self.multi
+        return sorted(k for k in some if garble(right, self.steps[k]) == wrong)
 
 
 # ---------------------------------------------------------------------------------------------- Spark
@@ -383,80 +397,91 @@ def corpus_pairs(df: DataFrame, text: str = "text") -> PairCounts:
     return PairCounts(np.concatenate([np.empty(0, np.uint64), *codes]), counted.column(1).to_numpy())
 
 
-def _segments(df: DataFrame, text: str) -> DataFrame:
-    """Distinct lines and sentences with non-ASCII characters, with their skeletons."""
-    seg = (
-        _texts(df, text)
-        .select(F.explode(F.split("text", r"\n|(?<=[.!?])\s+")).alias("segment"))
-        .filter(F.col("segment").rlike(r"[^\x00-\x7F]"))
-        .distinct()
-    )
-    bare = F.regexp_replace(F.regexp_replace("segment", r"[^\x00-\x7F]+", ""), r"[0-9]+", "0")
-    bare = F.trim(F.regexp_replace(bare, r"\s+", " "))
-    return seg.withColumn("skeleton", bare).filter(F.length(F.regexp_replace("skeleton", "[^A-Za-z]", "")) >= 8)
-
-
-def learn_steps(df: DataFrame, text: str, common: Commonness) -> list[Step]:
-    """The transformations that twins show, best supported first."""
-    ship(df.sparkSession)
+def _variants(df: DataFrame, text: str) -> DataFrame:
+    """(frame, runs, n): what lines and sentences with non-ASCII characters are, and how often."""
+    segment = F.explode(F.split("text", r"\n|(?<=[.!?])\s+")).alias("segment")
+    seg = _texts(df, text).select(segment).filter(F.col("segment").rlike(r"[^\x00-\x7F]"))
+    bare = F.regexp_replace(F.regexp_replace("segment", r"[^\x00-\x7F]+", "□"), r"[0-9]+", "0")
+    bare = F.trim(F.regexp_replace(bare, r"[ \t\r\x0b\x0c]+", " "))
+    runs = F.regexp_extract_all("segment", F.lit(r"[^\x00-\x7F]+"), F.lit(0))
+    return seg.select(bare.alias("frame"), runs.alias("runs")).groupBy("frame", "runs").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _run_pairs(v: DataFrame) -> DataFrame:
+    """(a, b, n) of ``_variants``: the pairs of runs that differ at the same place of twins, and the number of twins by their frame alone."""
+    telling = F.length(F.regexp_replace("frame", "[^A-Za-z]", "")) >= FRAME_LETTERS
+    key = lambda f: F.concat_ws("|", "frame", F.array_join(F.transform("runs", f).cast("array<string>"), ","))
+    own, utf8, double = key(F.length), key(F.octet_length), key(lambda r: F.length(r) * 2)
+    clean = v.select("runs", "n", F.explode(F.when(telling, F.array("frame")).otherwise(F.array_distinct(F.array(own, utf8, double)))).alias("key"), own.alias("own"))
+    way = F.when(F.col("key") == F.col("own"), 1).otherwise(0)
+    size = F.aggregate("runs", F.lit(0), lambda s, r: s + F.length(r))
+    pivots = clean.groupBy("key", way.alias("way")).agg(F.max_by("runs", F.struct("n", -size, F.col("runs"))).alias("pivot"))
+    pivots = pivots.groupBy("key").agg(F.collect_list("pivot").alias("pivots"))  # two at most
+    rows = v.select("runs", telling.cast("int").alias("telling"), F.when(telling, F.col("frame")).otherwise(own).alias("key"))
+    dim = cut_lineage(pivots.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).withColumnRenamed("key", "k"), F.col("key") == F.col("k")).drop("k"))
+    twins = join_unique(rows, dim, "key", "m", v.count()).select("runs", "telling", F.explode("pivots").alias("pivot"))
+    twins = twins.filter((F.size("runs") == F.size("pivot")) & (F.col("runs") != F.col("pivot")))
+    pair = F.explode(F.arrays_zip(F.col("runs").alias("x"), F.col("pivot").alias("y"))).alias("p")
+    pairs = twins.select("telling", pair).filter("p.x <> p.y").select("telling", F.least("p.x", "p.y").alias("a"), F.greatest("p.x", "p.y").alias("b"))
+    return pairs.groupBy("a", "b").agg(F.sum("telling").alias("n"))
+
+
+def learn(df: DataFrame, text: str, common: Commonness) -> tuple[list[Step | Substitution], bool]:
+    """(the transformations that twins show, best supported first; whether twins show that characters became U+FFFD)."""
+    spark = df.sparkSession
+    ship(spark)
     steps = catalogue()
-    sc = df.sparkSession.sparkContext
-    shared = sc.broadcast(common.pairs)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = Commonness(shared.value)
-        for b in batches:
-            s = pa.array([c.per_character(x) for x in b.column(0).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), s], names=["segment", "skeleton", "score"])
-
-    scored = _segments(df, text).mapInArrow(score, "segment string, skeleton string, score double")
-    clean = scored.groupBy("skeleton").agg(F.max(F.struct("score", "segment")).alias("c"), F.count(F.lit(1)).alias("n"))
-    clean = clean.filter("n > 1").select("skeleton", F.col("c.segment").alias("clean"))
-    twins = scored.select("segment", "skeleton").join(clean, "skeleton").filter("segment <> clean").select("segment", "clean")
+    shared = spark.sparkContext.broadcast(common.pairs)
 
     def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, e = Commonness(shared.value), Explainer(steps)
         for b in batches:
-            seen = {p for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for p in aligned_runs(x, y)}
-            rows = [(w, r, m) for w, r in seen if (m := explaining(w, r, steps))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in rows], pa.string()), pa.array([x[1] for x in rows], pa.string()), pa.array([x[2] for x in rows], pa.list_(pa.int32()))],
-                names=["wrong", "right", "mask"],
-            )
-
-    runs = twins.mapInArrow(explain, "wrong string, right string, mask array<int>").distinct()
-    counts = runs.groupBy("mask").count()
-    few = counts.limit(MAX_MASKS + 1).collect()
-    if len(few) > MAX_MASKS:
-        return cover_rows(counts, steps, MIN_SUPPORT)
-    return cover({tuple(r["mask"]): r["count"] for r in few}, steps, MIN_SUPPORT)
-
-
-def cover_rows(counts: DataFrame, steps: list[Step], least: int) -> list[Step]:
-    """``cover`` of masks that are rows (mask, count): one aggregate a round, at most one round a transformation."""
-    counts, taken = cut_lineage(counts), []
-    while True:
-        left = counts.filter(~F.arrays_overlap("mask", F.array(*map(F.lit, taken)))) if taken else counts
-        votes = left.select(F.explode("mask").alias("k"), "count").groupBy("k").agg(F.sum("count").alias("n"))
-        best = votes.orderBy(F.desc("n"), "k").first()
-        if best is None or best.n < least:
-            return [steps[k] for k in taken]
-        taken.append(best.k)
+            rows = []
+            for x, y, n in zip(*(b.column(k).to_pylist() for k in range(3))):
+                right, wrong = (x, y) if c.frequency(x) >= c.frequency(y) else (y, x)
+                if "�" in right:
+                    right, wrong = wrong, right
+                mask = e.explain(wrong, right) if "�" not in right and wrong.strip("�") else []
+                if mask or len(right) == 1 or "�" in wrong:
+                    rows.append((wrong, right, n, mask))
+            cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.list_(pa.int32())))]
+            yield pa.RecordBatch.from_arrays(cols, names=["wrong", "right", "n", "mask"])
+
+    variants = cut_lineage(_variants(df, text))
+    mapped = cut_lineage(spread(_run_pairs(variants)).mapInArrow(explain, "wrong string, right string, n bigint, mask array<int>"))
+    explained = mapped.filter(F.size("mask") > 0)
+    votes = {r.k: r.n for r in explained.select(F.explode("mask").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
+    learned: list[Step | Substitution] = []
+    if votes:
+        of = F.create_map(*[F.lit(x) for kv in votes.items() for x in kv])
+        best = F.array_max(F.transform("mask", lambda k: F.named_struct(F.lit("n"), of[k], F.lit("k"), -k)))["k"]
+        chars = explained.select((-best).alias("k"), F.explode(F.array_distinct(F.split("right", ""))).alias("c")).filter("c <> ''")
+        support = chars.groupBy("k").agg(F.countDistinct("c").alias("chars")).filter(F.col("chars") >= MIN_SUPPORT).collect()
+        learned += [steps[r.k] for r in sorted(support, key=lambda r: (-votes[r.k], r.k))]
+    single = mapped.filter((F.size("mask") == 0) & (F.length("right") == 1) & ~F.col("wrong").contains("�"))
+    total = F.sum("n").over(W.partitionBy("wrong"))
+    pure = single.withColumn("total", total).filter((F.col("n") >= MIN_TWINS) & (F.col("n") >= PURITY * F.col("total"))).select("wrong", "right", "n")
+    held = variants.select(F.explode("runs").alias("wrong")).join(pure, "wrong").groupBy("wrong", "right", "n").agg(F.count(F.lit(1)).alias("held"))
+    shown = {r.wrong: r.right for r in held.filter(F.col("n") >= SHOWN * F.col("held")).collect()}
+    shown = {w: r for w, r in shown.items() if all(restore(w, s) == w for s in learned)}
+    if shown:
+        learned.append(Substitution(shown))
+    lost = mapped.filter((F.size("mask") == 0) & F.col("wrong").contains("�")).agg(F.countDistinct("right")).first()[0] >= MIN_SUPPORT
+    return learned, lost
 
 
 def judged(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns, ``garbled``, ``restored`` and ``step`` of every row with non-ASCII characters."""
     ship(df.sparkSession)
     common = Commonness(corpus_pairs(df, text))
-    seen = learn_steps(df, text, common)
-    unseen = [s for s in catalogue() if s not in seen]
-    shared = df.sparkSession.sparkContext.broadcast((common.pairs, seen, unseen))
+    shared = df.sparkSession.sparkContext.broadcast((common.pairs, *learn(df, text, common)))
     slim = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
     slim = slim.filter(F.col("__text").rlike(r"[^\x00-\x7F]"))
     n = len(keep)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, s, u = shared.value
-        j = Judge(Commonness(pairs), s, u)
+        pairs, steps, lost = shared.value
+        j = Judge(Commonness(pairs), steps, lost)
         for b in batches:
             out = [j.judge(t) for t in b.column(n).to_pylist()]
             cols = [pa.array([o[0] for o in out], pa.bool_()), pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.string())]

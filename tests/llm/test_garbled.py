@@ -40,6 +40,10 @@ def corpus():
     for t in ("Â and Ã are letters.", "ATENÇÃO — SÃO 5 CAIXAS", "plain ascii", "", None, "日本語の文です。"):
         rows.extend((k + x, t) for x in range(3))
         k += 3
+    for j, c in enumerate("éûà"):
+        bad.append(k)
+        rows.append((k, f"Tavi wrote on page {j}: {CLEAN[4 if c == 'û' else 0].replace(c, chr(0xFFFD))}"))
+        k += 1
     rows.append((k, "lost character: caf� here"))
     return rows, [*bad, k]
 
@@ -50,14 +54,47 @@ def test_found_and_restored(spark):
     found = sorted(r.doc_id for r in garbled.garbled_documents(df, "doc_id").collect())
     assert found == sorted(bad)
     original = {r.doc_id: r.restored for r in garbled.restored_documents(df, "doc_id").collect()}
-    good = sum(any(t in original[i] for t in CLEAN) for i in bad[:-1])
-    assert good >= len(bad[:-1]) - 1
+    good = sum(any(t in original[i] for t in CLEAN) for i in bad[:-4])
+    assert good >= len(bad[:-4]) - 1
 
 
 def test_twins_teach_the_steps(spark):
     df = spark.createDataFrame(corpus()[0], "doc_id bigint, text string")
-    steps = garbled.learn_steps(df, "text", garbled.Commonness(garbled.corpus_pairs(df)))
-    assert Step("utf-8", "cp1252") in steps and Step("utf-8", "cp437") in steps
+    steps, lost = garbled.learn(df, "text", garbled.Commonness(garbled.corpus_pairs(df)))
+    assert Step("utf-8", "cp1252") in steps and Step("utf-8", "cp437") in steps and lost
+
+
+def test_what_twins_do_not_show_is_not_applied(spark):
+    clean = [r for r in corpus()[0] if r[1] and any(t in r[1] for t in CLEAN)]
+    rows = [*clean, (9000, "Nobody else wrote: " + garble(CLEAN[0], Step("utf-8", "cp1252"))), (9001, "lost character: caf� here")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert garbled.learn(df, "text", garbled.Commonness(garbled.corpus_pairs(df))) == ([], False)
+    assert garbled.garbled_documents(df, "doc_id").count() == 0
+
+
+def test_mappings_outside_the_list_and_losses_are_learned(spark):
+    words = ["première", "père", "mère", "frère", "lumière", "rivière", "manière", "barrière"]
+    line = "{0} et encore {0}, puis {0} de la maison bleue du village ancien"
+    rows = [line.format(w) for w in words for _ in range(4)]
+    rows += [line.format(w.replace("è", "¤¦")) for w in words[:5]]
+    rows += [f"{w} du vieux café fermé à côté" for w in words]
+    rows += ["Un autre caf¤¦ et p¤¦re", "Une for� t"]
+    rows += [f"la {x} lumineuse chambre du grand village" for x in ("forêt", "forêt", "for�t", "fenêtre", "fenêtre", "fen�tre", "étoile", "étoile", "�toile")]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    steps, lost = garbled.learn(df, "text", garbled.Commonness(garbled.corpus_pairs(df)))
+    assert lost and [s.pairs for s in steps if isinstance(s, garbled.Substitution)] == [{"¤¦": "è"}]
+    found = {r.doc_id: (r.restored, r.step) for r in garbled.restored_documents(df, "doc_id").collect()}
+    assert all(found[k][0] == rows[k].replace("¤¦", "è") for k in range(32, 37))
+    assert {k for k, v in found.items() if v[1] == garbled.LOST} == {k for k, t in enumerate(rows) if "�" in t}
+
+
+def test_twins_without_ascii_letters(spark):
+    clean = ["Мы хотим печь хлеб во вторник, если не будет дождя.", "Поезд опоздал на 40 минут, потому что шёл дождь.", "记录里写着，三月初买的那个望远镜是白色的 5 。"]
+    rows = [t for t in clean for _ in range(6)] + [garble(clean[0], Step("utf-8", "cp1252")), garble(clean[1], Step("koi8_r", "cp1251")), garble(clean[2], Step("gb18030", "cp1252"))]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    steps, _ = garbled.learn(df, "text", garbled.Commonness(garbled.corpus_pairs(df)))
+    assert {Step("utf-8", "cp1252"), Step("koi8_r", "cp1251"), Step("gb18030", "cp1252")} <= set(steps)
+    assert sorted(r.doc_id for r in garbled.garbled_documents(df, "doc_id").collect()) == [18, 19, 20]
 
 
 def test_empty_and_clashing(spark):
@@ -82,7 +119,7 @@ def test_text_restored_whole_when_the_memo_is_emptied():
         for a, b in zip(f" {w} ", f"{w} "):
             pairs[a + b] = pairs.get(a + b, 0) + 100
     step = Step("utf-8", "cp1252")
-    judge = garbled.Judge(garbled.Commonness(pairs), [step], [])
+    judge = garbled.Judge(garbled.Commonness(pairs), [step])
     judge.memo.update((str(k), []) for k in range(300_000))
     assert judge.judge(garble(clean, step)) == (True, clean, step.name)
 
@@ -95,11 +132,3 @@ def test_all_pairs_of_a_large_alphabet_are_counted(spark):
     assert pairs.get(chars[3] + chars[640]) == 1 and pairs.get(" " + chars[5]) == 650 and pairs.get("xy") == 0
     common = garbled.Commonness(pairs)
     assert common.single[" "] == common.first[" "] == 650 * 650
-
-
-def test_steps_do_not_depend_on_the_number_of_masks(spark, monkeypatch):
-    df = spark.createDataFrame(corpus()[0], "doc_id bigint, text string")
-    common = garbled.Commonness(garbled.corpus_pairs(df))
-    want = garbled.learn_steps(df, "text", common)
-    monkeypatch.setattr(garbled, "MAX_MASKS", 1)
-    assert len(want) > 1 and garbled.learn_steps(df, "text", common) == want
