@@ -32,11 +32,25 @@ def audited_int(c: Column) -> Column:
 
 
 def as_bool(c: Column) -> Column:
-    """Lenient: true for true, a number other than 0, or the texts 1, true, yes, on; null is false."""
+    """Lenient: true for true and for the texts 1, true, yes, on; null is false. Numbers go by ``number_as_bool``, where any but 0 is true."""
     t = F.lower(F.trim(c.cast("string")))
     return F.coalesce(t.isin("1", "true", "yes", "on"), F.lit(False))
 
 
+def variant_as_bool(v: Column) -> Column:
+    """Lenient truth of a VARIANT: a boolean as it is, a number unless it is 0 (2 is true), the texts 1, true, yes, on ("2" is not)."""
+    kind = F.schema_of_variant(v)
+    number = F.try_variant_get(v, "$", "double")
+    is_number = kind.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)")
+    return F.coalesce(F.when(is_number, (number != 0) | F.isnan(number)).when(kind.isin("BOOLEAN", "STRING"), as_bool(F.try_variant_get(v, "$", "string"))), F.lit(False))
+
+
+def strict_nonnegative_int(c: Column) -> Column:
+    """Error for null, text that is no whole number, and negative numbers."""
+    n = F.regexp_extract(F.trim(c.cast("string")), r"^([+-]?\d+)$", 1).try_cast("bigint")
+    return F.when(n >= 0, n).otherwise(F.raise_error(F.concat(F.lit("no whole number from 0: "), F.coalesce(c.cast("string"), F.lit("null")))).cast("bigint"))
+
+
 def number_as_bool(c: Column) -> Column:
     return F.coalesce(c != 0, F.lit(False))
 

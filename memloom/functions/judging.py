@@ -14,12 +14,13 @@ WORLD_LABELS = ("Correct", "Hallucination", "Omission")
 
 
 def json_object(c: Column) -> Column:
-    """The JSON object of a reply as VARIANT: without code fences, or from the first ``{`` to the last ``}``; else null."""
+    """The JSON object of a reply as VARIANT: without code fences; if that is no JSON at all, from the first ``{`` to the last ``}``. JSON of
+    another kind, such as an array with an object in it, is none: null."""
     bare = F.regexp_replace(strip(text(c)), r"(?i)^```(?:json)?\s*|\s*```$", "")
     inner = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
     is_object = lambda v: F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
     whole, part = F.try_parse_json(bare), F.try_parse_json(inner)
-    return F.when(is_object(whole), whole).when(is_object(part), part)
+    return F.when(is_object(whole), whole).when(whole.isNull() & is_object(part), part)
 
 
 def snapped(score: Column, allowed: tuple[float, ...]) -> Column:
@@ -60,7 +61,9 @@ def parsed_reply(c: Column, family: str) -> Column:
         clash = (text(supplied) != "") & ~F.coalesce(snapped(supplied.try_cast("double"), BINARY) == score, F.lit(False))
         problem = F.when(v.isNull(), "no object").when(reasoning == "", "no reasoning").when(label.isNull(), "unknown label").when(clash, "score disagrees")
     elif family == "binary":
-        score = snapped(F.coalesce(number("$.answer_score"), number("$.score")), BINARY)
+        # A present answer_score counts, be it null.
+        present = F.map_contains_key(F.try_variant_get(v, "$", "map<string,variant>"), F.lit("answer_score"))
+        score = snapped(F.when(F.coalesce(present, F.lit(False)), number("$.answer_score")).otherwise(number("$.score")), BINARY)
         label = F.when(score == 1.0, "Correct").when(score.isNotNull(), "Incorrect")
         clash = given_label.isNotNull() & ~F.coalesce(canonical_label(given_label, ("Correct", "Incorrect")) == label, F.lit(False))
         problem = F.when(v.isNull(), "no object").when(score.isNull(), "score out of domain").when(clash, "label disagrees")

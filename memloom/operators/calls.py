@@ -63,10 +63,10 @@ def route_shares(calls: DataFrame, attempted: Column, succeeded: Column, cost: C
 def resolve_profiles(calls: DataFrame, profiles: DataFrame, model: str = "model", backend: str = "backend_model") -> DataFrame:
     """Each call with the canonical model that both of its names resolve to. ``profiles``: (identifier, canonical), one
     row per identifier, a configuration table. ``resolved`` is null where a name is unknown or the two disagree."""
-    p = F.broadcast(profiles.limit(10_000).select(F.lower(F.trim("identifier")).alias("identifier"), "canonical"))
+    p = (profiles.select(F.lower(F.trim("identifier")).alias("identifier"), "canonical"))
     a = p.select(F.col("identifier").alias("__a"), F.col("canonical").alias("__ca"))
     b = p.select(F.col("identifier").alias("__b"), F.col("canonical").alias("__cb"))
-    out = calls.join(F.broadcast(a), F.lower(F.trim(model)) == F.col("__a"), "left").join(F.broadcast(b), F.lower(F.trim(backend)) == F.col("__b"), "left")
+    out = calls.join(a, F.lower(F.trim(model)) == F.col("__a"), "left").join(b, F.lower(F.trim(backend)) == F.col("__b"), "left")
     return out.withColumn("resolved", F.when(F.col("__ca") == F.col("__cb"), F.col("__ca"))).drop("__a", "__b", "__ca", "__cb")
 
 

@@ -238,7 +238,7 @@ def first_of_route(specs: DataFrame, route: str, order: str) -> DataFrame:
 
 def with_defaults(specs: DataFrame, defaults: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Specs whose missing values come from their provider's defaults."""
-    d = F.broadcast(defaults.limit(10_000).select(key, *[F.col(c).alias(f"__{c}") for c in columns]))
+    d = defaults.select(key, *[F.col(c).alias(f"__{c}") for c in columns])
     out = specs.join(d, key, "left")
     for c in columns:
         out = out.withColumn(c, F.coalesce(F.col(c), F.col(f"__{c}")))

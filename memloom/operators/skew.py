@@ -1,4 +1,4 @@
-"""Joins and positions where one key may hold a third of all rows, and cutoffs that bound a result."""
+"""Joins and positions where one key may hold a third of all rows."""
 
 from __future__ import annotations
 
@@ -35,30 +35,3 @@ def positions(df: DataFrame, keys: list[str], order: list[str], name: str = "pos
         on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
     out = placed.alias("a").join(before.alias("b"), on)
     return out.select(*[F.col(f"a.{c}") for c in df.columns], (F.col("__before") + F.col("__inside")).alias(name))
-
-
-def most_frequent(df: DataFrame, n: str, limit: int, by: str | None = None) -> DataFrame:
-    """Rows whose count ``n`` reaches the least cutoff at which at most ``limit`` rows (of each value of ``by``, a column of few
-    values) are left; counts above 1024 are told apart by powers of two. No sort: a histogram of counts gives the cutoff."""
-    df = cut_lineage(df)  # read twice, for the histogram and for the rows
-    step = F.when(F.col(n) <= 1024, F.col(n)).otherwise(F.pow(F.lit(2), F.floor(F.log2(F.col(n)))).cast("bigint"))
-    group = F.col(by) if by else F.lit("")
-    sizes: dict = {}
-    for r in df.groupBy(group.alias("g"), step.alias("step")).agg(F.count(F.lit(1)).alias("k")).collect():
-        sizes.setdefault(r.g, []).append((r.step, r.k))
-    cut = []
-    for g, steps in sizes.items():
-        held, least = 0, None
-        for s, k in sorted(steps, reverse=True):
-            held += k
-            if held > limit:
-                break
-            least = s
-        if least is not None:
-            cut.append((g, int(least)))
-    if not cut:
-        return df.limit(0)
-    if not by:
-        return df.filter(F.col(n) >= cut[0][1])
-    cuts = F.create_map(*[F.lit(x) for kv in cut for x in kv])
-    return df.filter(F.col(n) >= cuts[F.col(by)])

@@ -23,8 +23,12 @@ def marginal_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def final_session_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    uid = F.when(F.col("k") % 17 == 0, F.concat(F.lit("odd"), "event_id")).otherwise(F.format_string("u_%s_%s_%d", F.col("user_id").cast("string"), F.col("event_type"), F.col("k")))
-    out = A.final_rows(_events(spark, sf_dir).withColumn("uid", uid), "uid", "event_id")
+    """With uids that are no sessions, blank and null ones, and the same uids in two sources."""
+    k = F.col("k") % 17
+    uid = F.format_string("u_%s_%s_%d", F.col("user_id").cast("string"), F.col("event_type"), F.col("k"))
+    uid = F.when(k == 0, F.concat(F.lit("odd"), F.col("event_type"))).when(k == 1, " ").when(k == 2, F.lit(None)).when(k == 3, F.concat(F.lit(" "), uid)).otherwise(uid)
+    source = F.when(F.col("event_id") % 3 == 0, "a").when(F.col("event_id") % 3 == 1, " a ").otherwise("b")
+    out = A.final_rows(_events(spark, sf_dir).withColumn("uid", uid).withColumn("source", source), "source", "uid", "event_id")
     return out.select("uid", "event_id", "output_index")
 
 
@@ -33,6 +37,11 @@ def group_normalized_advantage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", F.round("normalized", 5).alias("normalized"))
 
 
+def group_normalized_unmasked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events(spark, sf_dir).withColumn("g", F.concat_ws("/", F.col("user_id").cast("string"), "event_type", (F.col("event_id") % 8).cast("string")))
+    return A.group_normalized(e, "g", "value").select("event_id", F.round("normalized", 5).alias("normalized"))
+
+
 def masked_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = A.masked_whitened(_events(spark, sf_dir), "value", F.col("event_type") != "error")
     return out.select("event_id", F.round("whitened", 5).alias("whitened"))
@@ -44,8 +53,8 @@ def _rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decoupled_advantage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = A.decoupled(_rewards(spark, sf_dir), "user_id", "task", {"cost": 0.5, "value": 0.0}, F.col("event_type") != "error")
-    return out.select("event_id", F.round("whitened", 4).alias("advantage"))
+    out = A.decoupled(_rewards(spark, sf_dir), "user_id", "task", {"cost": 0.5, "value": 0.0}, F.col("event_type") != "error", {"cost": F.col("ok")})
+    return out.select("event_id", F.round("advantage", 4).alias("advantage"))
 
 
 def eligibility_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +90,7 @@ def credit_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        marginal_deltas, final_session_rows, group_normalized_advantage, masked_whiten, decoupled_advantage, eligibility_mask, session_broadcast,
+        marginal_deltas, final_session_rows, group_normalized_advantage, group_normalized_unmasked, masked_whiten, decoupled_advantage, eligibility_mask, session_broadcast,
         span_validation, span_credit_range_join, credit_status,
     )
 }
@@ -90,9 +99,10 @@ _SPANS = f"(SELECT user_id, event_id, CAST(event_id AS INT) AS span_start, CAST(
 _OK = "(value IS NOT NULL AND k % 10 <> 0 AND (k % 3 = 0 OR k % 2 > 0 OR value > 0))"
 
 
-def _norm(source: str, column: str) -> str:
-    return f"""(SELECT e.*, CASE WHEN m = 1 AND event_type <> 'error' THEN 0 WHEN m <= 1 THEN {column} / (1 + 1e-6) ELSE ({column} - a) / (sd + 1e-6) END AS normalized FROM {source} e
-      JOIN (SELECT user_id, count(*) FILTER (event_type <> 'error') AS m, avg({column}) FILTER (event_type <> 'error') AS a, stddev_samp({column}) FILTER (event_type <> 'error') AS sd FROM {source} GROUP BY user_id) USING (user_id))"""
+def _norm(source: str, column: str, mask: str, group: str = "user_id") -> str:
+    """Zero outside the mask, and for the only row inside it."""
+    return f"""(SELECT e.*, CASE WHEN coalesce({mask}, false) AND m > 1 THEN ({column} - a) / (sd + 1e-6) ELSE 0 END AS normalized FROM {source} e
+      JOIN (SELECT {group} AS g, count(*) FILTER ({mask}) AS m, avg({column}) FILTER ({mask}) AS a, stddev_samp({column}) FILTER ({mask}) AS sd FROM {source} GROUP BY 1) s ON s.g IS NOT DISTINCT FROM {group})"""
 
 
 def _white(source: str, column: str) -> str:
@@ -105,12 +115,17 @@ _REWARDS = f"(SELECT *, CASE WHEN {_OK} THEN -CAST(CAST(value AS FLOAT) AS DOUBL
 
 ORACLES = {
     "marginal_deltas": f"""SELECT event_id, stage, round(delta, 6) AS delta FROM (SELECT event_id, row_number() OVER w - 1 AS stage, value - lag(value) OVER w AS delta FROM {_E} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE stage > 0""",
-    "final_session_rows": f"""WITH u AS (SELECT event_id, CASE WHEN k % 17 = 0 THEN 'odd' || event_id ELSE 'u_' || user_id || '_' || event_type || '_' || k END AS uid, CASE WHEN k % 17 = 0 THEN 0 ELSE k END AS output_index,
-        CASE WHEN k % 17 = 0 THEN 'odd' || event_id ELSE user_id || '_' || event_type END AS s FROM {_E})
-        SELECT uid, event_id, output_index FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY output_index DESC, event_id) AS r FROM u) WHERE r = 1""",
-    "group_normalized_advantage": f"SELECT event_id, round(normalized, 5) AS normalized FROM {_norm(_E, 'value')}",
+    "final_session_rows": f"""WITH u AS (SELECT event_id, CASE WHEN event_id % 3 < 2 THEN 'a' ELSE 'b' END AS source, user_id || '_' || event_type AS session, k,
+        CASE k % 17 WHEN 0 THEN 'odd' || event_type WHEN 1 THEN ' ' WHEN 2 THEN NULL WHEN 3 THEN ' u_' || user_id || '_' || event_type || '_' || k ELSE 'u_' || user_id || '_' || event_type || '_' || k END AS uid FROM {_E}),
+        s AS (SELECT uid, event_id, CASE WHEN k % 17 < 3 THEN 0 ELSE k END AS output_index, CASE k % 17 WHEN 0 THEN [source, 'plain', uid] WHEN 1 THEN [source, 'row', event_id::VARCHAR] WHEN 2 THEN [source, 'row', event_id::VARCHAR] ELSE [source, 'session', session] END AS key FROM u)
+        SELECT uid, event_id, output_index FROM s AS x WHERE NOT EXISTS (SELECT 1 FROM s AS y WHERE y.key = x.key AND (y.output_index > x.output_index OR y.output_index = x.output_index AND y.event_id < x.event_id))""",
+    "group_normalized_advantage": f"SELECT event_id, round(normalized, 5) AS normalized FROM {_norm(_E, 'value', "event_type <> 'error'")}",
+    "group_normalized_unmasked": f"""WITH e AS (SELECT *, user_id || '/' || event_type || '/' || event_id % 8 AS g FROM {_E}), s AS (SELECT g, count(*) AS n, avg(value) AS a, stddev_samp(value) AS sd FROM e GROUP BY g)
+        SELECT event_id, round(CASE WHEN n = 1 THEN value / (1 + 1e-6) ELSE (value - a) / (sd + 1e-6) END, 5) AS normalized FROM e JOIN s USING (g)""",
     "masked_whiten": f"SELECT event_id, round(whitened, 5) AS whitened FROM {_white(_E, 'value')}",
-    "decoupled_advantage": f"SELECT event_id, round(whitened, 4) AS advantage FROM {_white('(SELECT *, task + 0.5 * normalized AS fused FROM ' + _norm(_REWARDS, 'cost') + ')', 'fused')}",
+    "decoupled_advantage": f"""WITH n AS (SELECT *, coalesce(event_type <> 'error', false) AS response FROM {_norm(_REWARDS, 'cost', _OK)}), f AS (SELECT *, task + CASE WHEN response THEN 0.5 * normalized ELSE 0 END AS fused FROM n),
+        m AS (SELECT count(*) AS n, sum(fused) / (count(*) + 1e-8) AS mean FROM f WHERE response), v AS (SELECT sum((fused - mean) * (fused - mean)) / (max(n) + 1e-8) * max(n) / (max(n) - 1) AS var FROM f, m WHERE response)
+        SELECT event_id, round(CASE WHEN response THEN (fused - mean) / sqrt(var + 1e-8) ELSE 0 END, 4) AS advantage FROM f, m, v""",
     "eligibility_mask": f"SELECT event_id, {_OK} AS ok, round(cost, 4) AS cost FROM {_REWARDS}",
     "session_broadcast": f"SELECT event_id, first_value(value) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS session_value FROM {_E}",
     "span_validation": f"""SELECT user_id, span_start, span_end, problem FROM (SELECT *, CASE WHEN span_start < 0 OR span_end <= span_start THEN 'empty' WHEN span_end > 9000 THEN 'out of range'

@@ -251,7 +251,7 @@ ORACLES = {
         CASE s WHEN 0 THEN 'Incorrect' WHEN 0.25 THEN 'Poor' WHEN 0.5 THEN 'Partial' WHEN 0.75 THEN 'Good' WHEN 1 THEN 'Correct' END AS label
         FROM (SELECT *, CASE WHEN abs(score - round(score * 4) / 4) < 1e-8 AND score BETWEEN -1e-8 AND 1 + 1e-8 THEN round(score * 4) / 4 END AS s FROM judgements)""",
     "judge_reply_parse": """WITH t AS (SELECT judgement_id, CASE WHEN json_valid(raw_response) AND json_type(raw_response) = 'OBJECT' THEN raw_response
-          WHEN json_valid(regexp_extract(raw_response, '(?s)\\{.*\\}')) AND regexp_extract(raw_response, '(?s)\\{.*\\}') <> '' THEN regexp_extract(raw_response, '(?s)\\{.*\\}') END AS v FROM judgements),
+          WHEN json_valid(raw_response) THEN NULL WHEN json_valid(regexp_extract(raw_response, '(?s)\\{.*\\}')) AND regexp_extract(raw_response, '(?s)\\{.*\\}') <> '' THEN regexp_extract(raw_response, '(?s)\\{.*\\}') END AS v FROM judgements),
         u AS (SELECT judgement_id, v, TRY_CAST(json_extract_string(v, '$.score') AS DOUBLE) AS n, trim(coalesce(json_extract_string(v, '$.reasoning'), '')) AS reasoning, nullif(trim(coalesce(json_extract_string(v, '$.label'), '')), '') AS l FROM t),
         w AS (SELECT *, CASE WHEN n IN (0, 0.25, 0.5, 0.75, 1) THEN n END AS s FROM u)
         SELECT judgement_id, s AS score, CASE WHEN s IS NOT NULL THEN coalesce(l, CASE s WHEN 0 THEN 'Incorrect' WHEN 0.25 THEN 'Poor' WHEN 0.5 THEN 'Partial' WHEN 0.75 THEN 'Good' WHEN 1 THEN 'Correct' END) END AS label,

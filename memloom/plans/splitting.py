@@ -17,10 +17,11 @@ _LABEL_SQL = "CASE WHEN lower(trim({c}, ' ' || chr(9) || chr(10) || chr(13))) IN
 
 
 def group_split_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations: those with one explicit label keep it, the others are split by hash."""
-    q = table(spark, sf_dir, "questions").filter("conversation_id is not null")
-    g = q.groupBy("conversation_id").agg(F.min(_label(F.col("split"))).alias("label"))
-    return S.group_split(g, "conversation_id", "label", 0.7, 0.1, "13")
+    """Conversations, and questions without one: labelled groups keep their split, the others are split by hash; groups with conflicting
+    labels, which a split refuses, are named."""
+    g = S.split_groups(table(spark, sf_dir, "questions"), "conversation_id", "row_id", _label(F.col("split")))
+    out = S.group_split(g.filter("not conflict"), "group_key", "label", 0.7, 0.1, "13", "conflict")
+    return out.unionByName(g.filter("conflict").select("group_key", F.lit("conflict").alias("split")))
 
 
 def split_label_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,14 +36,9 @@ def split_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stratified_split_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents held out by stratum (kind), a fifth in all, the least by hash within each."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("doc_kind", F.lit("")).alias("kind"))
-    sizes = {r.kind: r.n for r in d.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).orderBy("kind").collect()}
-    total = sum(sizes.values())
-    counts = S.stratum_counts(sizes, round(total * 0.2), 0.2)
-    want = F.broadcast(spark.createDataFrame(sorted(counts.items()), "kind string, held bigint"))
-    ranked = S.permuted(d, "doc_id", "13", ["kind"]).join(want, "kind")
-    return ranked.select("doc_id", "kind", F.when(F.col("rank") < F.col("held"), "test").otherwise("train").alias("split"))
+    """Conversations, stratified by their source."""
+    t = table(spark, sf_dir, "turns").select(F.concat_ws("/", "data_source", "conversation_id").alias("conversation"), "data_source").distinct()
+    return S.stratified_split(t, "conversation", ["data_source"], 0.7, 0.1, "13")
 
 
 def hash_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,14 +115,33 @@ QUERIES = {
     )
 }
 
+def _holdout(strata: str, holdout: str, ratio: str) -> str:
+    """(s, held): the largest marginal deficits, one at a time."""
+    return f"""(WITH z AS (SELECT * FROM {strata}), w AS (SELECT {holdout} AS want, {ratio} AS ratio FROM c), t AS (SELECT want, ratio, want >= count(*) FILTER (n >= 2) AND sum(n) - want >= count(*) FILTER (n >= 2) AS paired FROM z, w GROUP BY want, ratio),
+      l AS (SELECT s, n, CASE WHEN paired AND n >= 2 THEN 1 ELSE 0 END AS low, CASE WHEN paired AND n >= 2 THEN n - 1 ELSE n END AS high, want, ratio FROM z, t),
+      j AS (SELECT s, unnest(range(low::BIGINT, high::BIGINT)) AS j, n, want, ratio FROM l), r AS (SELECT s, row_number() OVER (ORDER BY n * ratio - j DESC, sha256('13' || chr(0) || s)) AS r FROM j)
+      SELECT l.s, low + count(r.s) AS held FROM l LEFT JOIN r ON r.s = l.s AND r.r <= want - (SELECT sum(low) FROM l) GROUP BY l.s, low)"""
+
+
+def _stratified() -> str:
+    return f"""WITH g AS (SELECT DISTINCT data_source || '/' || conversation_id AS k, data_source AS s FROM turns), z AS (SELECT s, count(*) AS n FROM g GROUP BY s),
+        c0 AS (SELECT count(*) AS n, least(greatest(round_even(count(*) * 0.8, 0), 2), count(*) - 1)::BIGINT AS dev FROM g), c AS (SELECT *, least(greatest(round_even(n * 0.7, 0), 1), dev - 1)::BIGINT AS tr FROM c0),
+        te AS {_holdout('z', 'n - dev', '1.0::DOUBLE - 0.8::DOUBLE')}, z2 AS (SELECT z.s, n - te.held AS n FROM z JOIN te USING (s)), va AS {_holdout('z2', 'dev - tr', '(dev - tr)::DOUBLE / dev')}
+        SELECT conversation, data_source, CASE WHEN r <= te.held THEN 'test' WHEN r <= te.held + va.held THEN 'val' ELSE 'train' END AS split
+        FROM (SELECT k AS conversation, s AS data_source, row_number() OVER (PARTITION BY s ORDER BY sha256('13' || chr(0) || k), k) AS r FROM g) JOIN te ON te.s = data_source JOIN va ON va.s = data_source"""
+
+
 ORACLES = {
-    "group_split_hash": f"""WITH g AS (SELECT conversation_id, min({_LABEL_SQL.format(c='split')}) AS label FROM questions WHERE conversation_id IS NOT NULL GROUP BY 1),
-        r AS (SELECT conversation_id, row_number() OVER (ORDER BY sha256('13' || chr(0) || conversation_id), conversation_id) - 1 AS k, count(*) OVER () AS n FROM g WHERE label IS NULL),
+    "group_split_hash": f"""WITH c AS (SELECT coalesce(nullif(conversation_id, ''), 'row ' || row_id) AS group_key, {_LABEL_SQL.format(c='split')} AS label FROM questions),
+        x AS (SELECT group_key, count(DISTINCT label) AS labels, max(label) AS label FROM c GROUP BY 1), g AS (SELECT * FROM x WHERE labels < 2),
+        r AS (SELECT group_key, row_number() OVER (ORDER BY sha256('13' || chr(0) || group_key), group_key) - 1 AS k, count(*) OVER () AS n FROM g WHERE label IS NULL),
         h AS (SELECT bool_or(label = 'train') AS tr, bool_or(label = 'val') AS va, bool_or(label = 'test') AS te FROM g),
         a AS (SELECT r.*, h.*, CASE WHEN tr THEN round_even(n * 0.7, 0) ELSE greatest(round_even(n * 0.7, 0), 1) END AS a0, round_even(n * (0.7 + 0.1), 0) AS d0 FROM r, h),
-        b AS (SELECT *, CASE WHEN va THEN d0 ELSE greatest(d0, a0 + 1) END AS d1 FROM a), c AS (SELECT *, CASE WHEN te THEN d1 ELSE least(d1, n - 1) END AS d FROM b),
-        e AS (SELECT *, CASE WHEN va THEN least(a0, d) ELSE least(least(a0, d), d - 1) END AS a FROM c)
-        SELECT conversation_id, label AS split FROM g WHERE label IS NOT NULL UNION ALL SELECT conversation_id, CASE WHEN k < a THEN 'train' WHEN k < d THEN 'val' ELSE 'test' END FROM e""",
+        b AS (SELECT *, CASE WHEN va THEN d0 ELSE greatest(d0, a0 + 1) END AS d1 FROM a), c2 AS (SELECT *, CASE WHEN te THEN d1 ELSE least(d1, n - 1) END AS d FROM b),
+        e AS (SELECT *, CASE WHEN va THEN least(a0, d) ELSE least(least(a0, d), d - 1) END AS a FROM c2)
+        SELECT group_key, label AS split FROM g WHERE label IS NOT NULL UNION ALL SELECT group_key, CASE WHEN k < a THEN 'train' WHEN k < d THEN 'val' ELSE 'test' END FROM e
+        UNION ALL SELECT group_key, 'conflict' FROM x WHERE labels > 1""",
+    "stratified_split_hash": _stratified(),
     "split_label_conflicts": f"SELECT dataset_source, conversation_id, count(DISTINCT {_LABEL_SQL.format(c='split')}) AS n FROM questions WHERE conversation_id IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT {_LABEL_SQL.format(c='split')}) > 1",
     "split_leakage": f"""WITH q AS (SELECT conversation_id, {_LABEL_SQL.format(c='split')} AS s FROM questions WHERE conversation_id IS NOT NULL)
         SELECT conversation_id, array_to_string(list_sort(list(DISTINCT s)), ',') AS splits FROM q WHERE s IS NOT NULL GROUP BY 1 HAVING count(DISTINCT s) > 1""",

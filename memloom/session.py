@@ -29,13 +29,15 @@ def build_session(app: str = "memloom", master: str | None = None, partitions: i
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; pick one only where none is named (tests)."""
+    """Use the folder the cluster names in spark.checkpoint.dir; pick one only on a local master (tests)."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         sc.setCheckpointDir(named)
+    elif not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     else:
         sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "memloom-checkpoints"))
 

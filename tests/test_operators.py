@@ -41,7 +41,9 @@ def test_group_normalisation(spark):
     df = spark.createDataFrame([("a", -1.0, True), ("a", -3.0, True), ("b", 5.0, True), ("c", 5.0, False)], "g string, x double, m boolean")
     got = {(r.g, r.x): r.normalized for r in advantage.group_normalized(df, "g", "x", F.col("m")).collect()}
     assert got["a", -1.0] == pytest.approx(0.70710628) and got["a", -3.0] == pytest.approx(-0.70710628)
-    assert got["b", 5.0] == 0 and got["c", 5.0] == pytest.approx(5 / (1 + 1e-6))
+    assert got["b", 5.0] == 0 and got["c", 5.0] == 0  # a singleton, and a row outside the mask
+    plain = {(r.g, r.x): r.normalized for r in advantage.group_normalized(df, "g", "x").collect()}
+    assert plain["c", 5.0] == pytest.approx(5 / (1 + 1e-6)) and plain["a", -1.0] == pytest.approx(0.70710628)
     df = spark.createDataFrame([(1.0,), (2.0,), (4.0,)], "x double")
     got = sorted(r.whitened for r in advantage.masked_whitened(df, "x", F.lit(True)).collect())
     assert got == pytest.approx([-0.87287156, -0.21821789, 1.09108946])
@@ -50,8 +52,22 @@ def test_group_normalisation(spark):
 
 
 def test_final_rows(spark):
-    df = spark.createDataFrame([(k, u) for k, u in enumerate(["a_0_0", "a_0_2", "a_0_1", "x", "b_1_0"])], "pos int, uid string")
-    assert [r.uid for r in advantage.final_rows(df, "uid", "pos").orderBy("pos").collect()] == ["a_0_2", "x", "b_1_0"]
+    uids = ["a_0_0", "a_0_2", "a_0_1", "x", "b_1_0", "x", None, " ", None, "a_b_0_5 ", "a_b_0_7", "a_0_z", "a_0_2"]
+    df = spark.createDataFrame([(k, "t" if k == 12 else "s", u) for k, u in enumerate(uids)], "pos int, source string, uid string")
+    assert [r.pos for r in advantage.final_rows(df, "source", "uid", "pos").orderBy("pos").collect()] == [1, 3, 4, 6, 7, 8, 10, 11, 12]
+
+
+def test_decoupled(spark):
+    rows = [("a", 1.0, 2.0, True, True), ("a", 3.0, 4.0, True, True), ("a", 9.0, 9.0, True, False), ("b", 5.0, 1.0, False, True)]
+    df = spark.createDataFrame(rows, "g string, task double, cost double, response boolean, ok boolean")
+    got = {r.task: r.advantage for r in advantage.decoupled(df, "g", "task", {"cost": 1.0}, F.col("response"), {"cost": F.col("ok")}).collect()}
+    fused = {1.0: 1 - 0.70710628, 3.0: 3 + 0.70710628, 9.0: 9.0}
+    mean = sum(fused.values()) / 3
+    var = sum((x - mean) ** 2 for x in fused.values()) / 2
+    assert all(got[k] == pytest.approx((x - mean) / var**0.5, abs=1e-5) for k, x in fused.items()) and got[5.0] == 0
+    for weights in ({"cost": -1.0}, {"cost": 0.0}):
+        with pytest.raises(ValueError):
+            advantage.decoupled(df, "g", "task", weights, F.col("response"))
 
 
 def test_spans(spark):
@@ -137,22 +153,47 @@ def test_group_split_keeps_labels(spark):
     assert got["a"] == "test" and got["b"] == "val" and got["c"] == "train" and len(got) == 4
 
 
-def test_stratum_counts():
-    sizes = {"a": 10, "b": 5, "c": 1, "d": 22}
-    counts = splitting.stratum_counts(sizes, 8, 0.2)
-    assert sum(counts.values()) == 8 and all(1 <= counts[s] < sizes[s] for s in "abd")
-    with pytest.raises(ValueError):
-        splitting.stratum_counts({"a": 1}, 2, 0.5)
+def test_group_split_refuses(spark):
+    rows = spark.createDataFrame([(1, "a", "train"), (2, "a", "test"), (3, "b", None), (4, None, None), (5, "", "val"), (6, "c", None)], "i int, c string, label string")
+    g = splitting.split_groups(rows, "c", "i", F.col("label"))
+    assert {r.group_key: r.conflict for r in g.collect()} == {"a": True, "b": False, "row 4": False, "row 5": False, "c": False}
+    with pytest.raises(Exception, match="conflicting labels"):
+        splitting.group_split(g, "group_key", "label", 0.7, 0.1, "13", "conflict").collect()
+    assert splitting.group_split(g.filter("not conflict"), "group_key", "label", 0.7, 0.1, "13", "conflict").count() == 4
+    for labels in ([None, None], ["train", "val"]):
+        few = spark.createDataFrame(list(enumerate(labels)), "c int, label string")
+        with pytest.raises(Exception, match="stays empty"):
+            splitting.group_split(few, "c", "label", 0.7, 0.1, "13").collect()
+
+
+def one_at_a_time(sizes, holdout, ratio):
+    """Greatest marginal deficit first."""
+    pairs = sum(n >= 2 for n in sizes.values())
+    both = holdout >= pairs and sum(sizes.values()) - holdout >= pairs
+    low = {s: int(both and n >= 2) for s, n in sizes.items()}
+    free = [(j - n * ratio, s) for s, n in sizes.items() for j in range(low[s], n - low[s])]
+    taken = sorted(free)[: holdout - sum(low.values())]
+    return {s: low[s] + sum(t == s for _, t in taken) for s in sizes}
 
 
-def test_stratified_split_keeps_all_strata(spark, tmp_path):
-    from memloom.plans.splitting import stratified_split_hash
+@pytest.mark.parametrize("sizes,holdout,ratio", [({"a": 10, "b": 5, "c": 1, "d": 22}, 8, 0.2), ({"a": 2, "b": 2, "c": 2, "d": 90}, 5, 0.05), ({f"s{k:02}": 1 + k % 3 for k in range(40)}, 9, 0.11), ({"a": 3, "b": 100}, 60, 0.2)])
+def test_holdout_counts(spark, sizes, holdout, ratio):
+    df = spark.createDataFrame(list(sizes.items()), "s string, n bigint")
+    assert {r.s: r.held for r in splitting.holdout_counts(df, "n", holdout, ratio, ["s"]).collect()} == one_at_a_time(sizes, holdout, ratio)
+
+
+def test_holdout_out_of_reach(spark):
+    with pytest.raises(ValueError):
+        splitting.holdout_counts(spark.createDataFrame([("a", 1)], "s string, n bigint"), "n", 2, 0.5, ["s"])
+
 
-    rows = [(f"d{k}", f"kind {k % 1200}") for k in range(6000)]
-    spark.createDataFrame(rows, "doc_id string, doc_kind string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = stratified_split_hash(spark, str(tmp_path)).collect()
-    assert len(got) == 6000 and len({r.kind for r in got}) == 1200
-    assert sum(r.split == "test" for r in got) == 1200
+def test_stratified_split_keeps_all_strata(spark):
+    df = spark.createDataFrame([(f"g{k}", f"s{k % 1500}") for k in range(4000)], "k string, s string")
+    got = splitting.stratified_split(df, "k", ["s"], 0.7, 0.1, "13").groupBy("split").count().collect()
+    assert {r.split: r["count"] for r in got} == {"train": 2800, "val": 400, "test": 800}
+    worlds = spark.createDataFrame([(f"g{k}", f"s{k % 4}") for k in range(38)], "k string, s string")
+    got = splitting.stratified_split(worlds, "k", ["s"], 0.7, 0.1, "13").groupBy("split").count().collect()
+    assert {r.split: r["count"] for r in got} == {"train": 27, "val": 3, "test": 8}
 
 
 def test_checks(spark):
@@ -189,10 +230,6 @@ def test_positions_and_cutoffs(spark):
     got = {(r.k, r.i): r.position for r in skew.positions(df, ["k"], ["i"]).collect()}
     assert len(got) == len(rows)
     assert all(got["hot", k] == k for k in range(3000)) and all(got[f"k{k % 50}", k] == k // 50 for k in range(500)) and got[None, 4] == 4
-    counts = spark.createDataFrame([(g, k, n) for g in "ab" for k, n in enumerate([5000, 9, 9, 3, 3, 3, 1])], "g string, k int, n bigint")
-    assert sorted(r.n for r in skew.most_frequent(counts.filter("g = 'a'"), "n", 4).collect()) == [9, 9, 5000]
-    assert skew.most_frequent(counts, "n", 1, by="g").count() == 2
-    assert skew.most_frequent(counts.limit(0), "n", 1).count() == 0
 
 
 def test_visible(spark):
