@@ -398,27 +398,32 @@ def corpus_pairs(df: DataFrame, text: str = "text") -> PairCounts:
 
 
 def _variants(df: DataFrame, text: str) -> DataFrame:
-    """(frame, runs, n): what lines and sentences with non-ASCII characters are, and how often."""
+    """(telling, own, ways, runs, n): what lines and sentences with non-ASCII characters are, and how often. ``own`` is the hash of the
+    frame, with the lengths of the runs where it does not tell; ``ways`` those of what the segment may have become."""
     segment = F.explode(F.split("text", r"\n|(?<=[.!?])\s+")).alias("segment")
     seg = _texts(df, text).select(segment).filter(F.col("segment").rlike(r"[^\x00-\x7F]"))
     bare = F.regexp_replace(F.regexp_replace("segment", r"[^\x00-\x7F]+", "□"), r"[0-9]+", "0")
     bare = F.trim(F.regexp_replace(bare, r"[ \t\r\x0b\x0c]+", " "))
-    runs = F.regexp_extract_all("segment", F.lit(r"[^\x00-\x7F]+"), F.lit(0))
-    return seg.select(bare.alias("frame"), runs.alias("runs")).groupBy("frame", "runs").agg(F.count(F.lit(1)).alias("n"))
+    seg = seg.select(bare.alias("frame"), F.regexp_extract_all("segment", F.lit(r"[^\x00-\x7F]+"), F.lit(0)).alias("runs"))
+    telling = F.length(F.regexp_replace("frame", "[^A-Za-z]", "")) >= FRAME_LETTERS
+    key = lambda f: F.xxhash64("frame", F.transform("runs", f))
+    own = key(F.length)
+    whole = F.xxhash64("frame")
+    ways = F.when(telling, F.array(whole)).otherwise(F.array_distinct(F.array(own, key(F.octet_length), key(lambda r: F.length(r) * 2))))
+    seg = seg.select(telling.alias("telling"), F.when(telling, whole).otherwise(own).alias("own"), ways.alias("ways"), "runs")
+    return seg.groupBy("telling", "own", "runs").agg(F.first("ways").alias("ways"), F.count(F.lit(1)).alias("n"))
 
 
 def _run_pairs(v: DataFrame) -> DataFrame:
     """(a, b, n) of ``_variants``: the pairs of runs that differ at the same place of twins, and the number of twins by their frame alone."""
-    telling = F.length(F.regexp_replace("frame", "[^A-Za-z]", "")) >= FRAME_LETTERS
-    key = lambda f: F.concat_ws("|", "frame", F.array_join(F.transform("runs", f).cast("array<string>"), ","))
-    own, utf8, double = key(F.length), key(F.octet_length), key(lambda r: F.length(r) * 2)
-    clean = v.select("runs", "n", F.explode(F.when(telling, F.array("frame")).otherwise(F.array_distinct(F.array(own, utf8, double)))).alias("key"), own.alias("own"))
+    clean = v.select("runs", "n", "own", F.explode("ways").alias("key"))
     way = F.when(F.col("key") == F.col("own"), 1).otherwise(0)
     size = F.aggregate("runs", F.lit(0), lambda s, r: s + F.length(r))
     pivots = clean.groupBy("key", way.alias("way")).agg(F.max_by("runs", F.struct("n", -size, F.col("runs"))).alias("pivot"))
     pivots = pivots.groupBy("key").agg(F.collect_list("pivot").alias("pivots"))  # two at most
-    rows = v.select("runs", telling.cast("int").alias("telling"), F.when(telling, F.col("frame")).otherwise(own).alias("key"))
-    dim = cut_lineage(pivots.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).withColumnRenamed("key", "k"), F.col("key") == F.col("k")).drop("k"))
+    rows = v.select("runs", F.col("telling").cast("int").alias("telling"), F.col("own").alias("key"))
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
+    dim = cut_lineage(pivots.join(counts.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).drop("k"))
     twins = join_unique(rows, dim, "key", "m", v.count()).select("runs", "telling", F.explode("pivots").alias("pivot"))
     twins = twins.filter((F.size("runs") == F.size("pivot")) & (F.col("runs") != F.col("pivot")))
     pair = F.explode(F.arrays_zip(F.col("runs").alias("x"), F.col("pivot").alias("y"))).alias("p")
