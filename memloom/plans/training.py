@@ -22,7 +22,7 @@ def _p2_table(name: str):
 
 QUERIES = {
     "p2_found": p2_found,
-    **{f"p2_{n}": _p2_table(n) for n in ("profiles", "relationships", "shared_events", "sessions", "turns", "images")},
+    **{f"p2_{n}": _p2_table(n) for n in ("records", "profiles", "relationships", "shared_events", "sessions", "turns", "images")},
 }
 
 

@@ -1,4 +1,6 @@
 import json
+import re
+from collections import Counter
 
 from hypothesis import HealthCheck, given, settings, strategies as st
 
@@ -115,3 +117,55 @@ def test_tables_keep_links(spark, sf_dir):
     for child, parent in (("turns", "sessions"), ("images", "turns"), ("relationships", "profiles"), ("shared_events", "relationships")):
         orphans = tables[child].join(tables[parent].select("record_id", tables[parent]["node"].alias("parent")), ["record_id", "parent"], "left_anti")
         assert orphans.count() == 0
+
+
+def leaves(x, out):
+    """Texts of all scalars, JSON text counting as what it holds."""
+    if isinstance(x, str):
+        try:
+            y = json.loads(x) if x.strip()[:1] in ("{", "[") else x
+        except ValueError:
+            y = x
+        if isinstance(y, (dict, list)):
+            return leaves(y, out)
+        out[x] += 1
+    elif isinstance(x, dict):
+        for v in x.values():
+            leaves(v, out)
+    elif isinstance(x, list):
+        for v in x:
+            leaves(v, out)
+    elif x is not None:
+        out[json.dumps(x)] += 1
+    return out
+
+
+ODD = {
+    "character_profile": {"name": "A", "home": {"place": "P", "since": 1990, "zip": "Z9"}, "relationships": [{"name": "B", "shared_events": ["e", {"when": "w"}]}, "plain friend", None], "age": None},
+    "multi_session_dialogues": [{"session_id": "s1", "dialogues": ["a text", {"round": 1, "user": "u", "input_image": "i1", "image_id": ["x", "y"], "image_caption": "c"}, 7]}, "odd", {"dialogues": "none"}],
+    "human-annotated QAs": [{"q": "?", "deep": {"a": [1, {"b": True}]}}],
+}
+
+
+def test_no_content_is_lost(spark, sf_dir):
+    received = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/memeye_records.parquet").select("record_id", "record")
+    odd = [json.dumps(ODD), '{"character_profile":"text","multi_session_dialogues":7}', '{"character_profile":{"home":"no object"},"x":[]}', json.dumps(json.dumps(ODD))]
+    df = received.unionByName(spark.createDataFrame([(-1 - k, t) for k, t in enumerate(odd)], "record_id bigint, record string"))
+    found = {}
+    for name, t in memeye_tables(df).items():
+        for r in t.collect():
+            content = {k: v for k, v in r.asDict().items() if k not in ("record_id", "parent", "node", "position")}
+            leaves(content, found.setdefault(r.record_id, Counter()))
+    want = {}
+    for r in df.collect():
+        try:
+            x = json.loads(r.record or "")
+            x = json.loads(x) if isinstance(x, str) else x
+        except ValueError:
+            continue
+        if isinstance(x, dict):
+            want[r.record_id] = leaves(x, Counter())
+    assert len(want) > 20 and set(found) == set(want)
+    number = lambda t: str(float(t)) if re.fullmatch(r"-?\d+(\.\d+)?([eE][+-]?\d+)?", t) else t
+    plain = lambda c: Counter(number(t) for t in c.elements())
+    assert {k: (plain(w) - plain(found[k]), plain(found[k]) - plain(w)) for k, w in want.items() if plain(found[k]) != plain(w)} == {}
