@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from memloom.session import cut_lineage
 
@@ -20,18 +20,23 @@ def join_unique(rows: DataFrame, dim: DataFrame, key: str, n: str, total: int) -
     return rows.join(hot, key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
 
 
-def positions(df: DataFrame, keys: list[str], order: list[str], name: str = "position") -> DataFrame:
-    """``df`` with each row's place (from 0) within its key by ``order``, which should be unique within the key. Rows are cut into
-    ranges of (key, order); a place is the rows of the key in earlier ranges plus the place within the range. So a key
+def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows before each row within its key by ``order``, which should be unique within the key. Rows
+    are cut into ranges of (key, order); a sum is that of the key's earlier ranges plus that within the range. So a key
     with a third of the rows is spread over a third of the tasks. The ranges are checkpointed, as both steps must see the same."""
-    ranged = df.repartitionByRange(*[F.col(c) for c in [*keys, *order]]).withColumn("__range", F.spark_partition_id())
+    ranged = df.withColumn("__v", value).repartitionByRange(*[F.col(c) for c in [*keys, *order]]).withColumn("__range", F.spark_partition_id())
     ranged = cut_lineage(ranged)
-    counts = ranged.groupBy(*keys, "__range").agg(F.count(F.lit(1)).alias("__n"))
-    before = counts.withColumn("__before", F.sum("__n").over(W.partitionBy(*keys).orderBy("__range")) - F.col("__n")).drop("__n")
-    inside = W.partitionBy(*keys, "__range").orderBy(*order)
-    placed = ranged.withColumn("__inside", F.row_number().over(inside) - 1)
+    sums = ranged.groupBy(*keys, "__range").agg(F.sum("__v").alias("__n"))
+    before = sums.withColumn("__before", F.sum("__n").over(W.partitionBy(*keys).orderBy("__range")) - F.col("__n")).drop("__n")
+    inside = W.partitionBy(*keys, "__range").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = ranged.withColumn("__inside", F.sum("__v").over(inside) - F.col("__v"))
     on = F.col("a.__range") == F.col("b.__range")
     for k in keys:
         on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
     out = placed.alias("a").join(before.alias("b"), on)
     return out.select(*[F.col(f"a.{c}") for c in df.columns], (F.col("__before") + F.col("__inside")).alias(name))
+
+
+def positions(df: DataFrame, keys: list[str], order: list[str], name: str = "position") -> DataFrame:
+    """``df`` with each row's place (from 0) within its key by ``order``, which should be unique within the key, as by ``running_sum``."""
+    return running_sum(df, keys, order, F.lit(1).cast("bigint"), name)
