@@ -26,8 +26,8 @@ from memloom.session import cut_lineage
 
 #: Hash buckets a source is shuffled in, and slots to a numbering bucket.
 BUCKETS, SLOTS = 2048, 65_536
-#: Slots that a mix has, about; a slot has at least ``MIN_BLOCK`` tokens.
-MIX_SLOTS, MIN_BLOCK = 20_000, 32
+#: Tokens of a slot, whatever the size of the mix: each source has its share at every prefix, up to a few blocks.
+BLOCK_TOKENS = 1024
 GOLDEN = 0.6180339887498949
 
 
@@ -69,19 +69,19 @@ def schedule(spark, weights: list[tuple[str, float]], slots: int) -> DataFrame:
 
 def available_tokens(sized: DataFrame, targets: DataFrame) -> int:
     """Tokens of all documents of the targets' sources."""
-    t = F.broadcast(targets.select("source").distinct().limit(1000))
-    return int(sized.join(t, "source", "left_semi").agg(F.sum("n_tokens")).first()[0] or 0)
+    return int(sized.join(targets.select("source").distinct(), "source", "left_semi").agg(F.sum("n_tokens")).first()[0] or 0)
 
 
 def mix_sources(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None, block_tokens: int | None = None, seed: int = 0) -> DataFrame:
-    """(slot, source, id, pass, n_tokens): every use of a document, ordered by slot. ``sized``: (id, source, n_tokens).
+    """(slot, place, source, id, pass, n_tokens): every use of a document, in the order of slot and place, the token at which it begins in the slot's
+    block. ``sized``: (id, source, n_tokens).
     ``targets``: (source, target_share, max_repeats), a few rows. ``total_tokens``: size of the mix, by default the
     tokens of all documents of the targets' sources."""
     spark = sized.sparkSession
-    goal = targets.select("source", "target_share", "max_repeats").orderBy("source").limit(1000).collect()
+    goal = targets.select("source", "target_share", "max_repeats").orderBy("source").collect()
     weights = [(r.source, float(r.target_share)) for r in goal if r.target_share and r.target_share > 0]
     if not weights:
-        return spark.createDataFrame([], "slot bigint, source string, id bigint, pass int, n_tokens bigint")
+        return spark.createDataFrame([], "slot bigint, place bigint, source string, id bigint, pass int, n_tokens bigint")
     share_sum = sum(w for _, w in weights)
 
     named = sized.select("id", "source", "n_tokens").filter(F.col("source").isin([n for n, _ in weights]) & (F.col("n_tokens") > 0))
@@ -91,7 +91,7 @@ def mix_sources(sized: DataFrame, targets: DataFrame, total_tokens: int | None =
     placed, sums = _shuffled_offsets(named, seed)
     have = {r.source: int(r.source_tokens) for r in sums.collect()}
     total = int(total_tokens if total_tokens is not None else sum(have.values()))
-    block = int(block_tokens or max(MIN_BLOCK, total // MIX_SLOTS))
+    block = int(block_tokens or BLOCK_TOKENS)
     plan = []
     for r in goal:
         size = have.get(r.source, 0)
@@ -100,7 +100,7 @@ def mix_sources(sized: DataFrame, targets: DataFrame, total_tokens: int | None =
             usable = min(quota, size * max(0, int(r.max_repeats or 0)))
             plan.append((r.source, size, usable, -(-usable // size)))
     if not plan:
-        return spark.createDataFrame([], "slot bigint, source string, id bigint, pass int, n_tokens bigint")
+        return spark.createDataFrame([], "slot bigint, place bigint, source string, id bigint, pass int, n_tokens bigint")
     of = F.broadcast(spark.createDataFrame(plan, "source string, size bigint, usable bigint, passes bigint"))
 
     uses = placed.join(of, "source").withColumn("pass", F.explode(F.sequence(F.lit(0), (F.col("passes") - 1).cast("int"))))
@@ -110,7 +110,8 @@ def mix_sources(sized: DataFrame, targets: DataFrame, total_tokens: int | None =
     # A few slots more than the mix has, so that every source finds its last block's slot.
     n = total // block + 64 + total // block // 50 + 40 * len(weights)
     out = uses.join(schedule(spark, weights, n), ["source", "rank"], "left")
-    return out.select(F.coalesce("slot", F.lit(n)).alias("slot"), "source", "id", "pass", "n_tokens")
+    place = F.col("at") - F.col("rank") * block
+    return out.select(F.coalesce("slot", F.lit(n)).alias("slot"), place.cast("bigint").alias("place"), "source", "id", "pass", "n_tokens")
 
 
 def mix_report(mix: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:

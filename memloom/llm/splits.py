@@ -3,14 +3,15 @@
 Method. Records and the entities they name form a bipartite graph. Every record carries the least record id it
 knows of; in each round an entity takes the least label of its records and a record the least of its entities,
 then labels jump to their own label, until nothing changes. Records with one label are one group. Groups are then
-assigned to splits: in order of size, each to the split in which it leaves the least squared deviation of the
-label counts from the targets.
+assigned to splits so that each label's rows reach the targets: large groups one by one, in order of size, each to the split in which it
+leaves the least squared deviation of the label counts from the targets; the other groups, stratified by their commonest label, by a cut of the
+stratum's running sum of sizes at what the large groups left of its targets.
 
 Plan. Records that name the same entities alike are one node (map-side counts), so a conversation with a third of
-all rows is one node of the graph. Groups above 1 / ``LARGE`` of all rows (at most ``LARGE``) are units of their own;
-smaller ones are hashed into at most ``BUCKETS`` units a label. So the greedy assignment sees a bounded number of
-units whatever the number of groups, and only these come to the driver. Rounds are cut by checkpoints in the
-shared folder.
+all rows is one node of the graph. Groups above 1 / ``LARGE`` of all rows, at most ``LARGE`` by definition, come to the driver with their rows by
+label; labels below 1 / ``LARGE`` of the rows are one label there, and there only. All other groups, of any number, are placed by distributed
+running sums, which know every label. A stratum's cut starts at a place of its own, so strata of a single group are not all cut
+alike. Rounds are cut by checkpoints in the shared folder.
 
 Defined results: a record that names no entity (all null or blank) is a group of its own; a null id in such a
 record stands for one group of all of them; repeated rows count again; an empty table gives no rows; labels that are
@@ -22,11 +23,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from memloom.operators.skew import join_unique
+from memloom.operators.skew import join_unique, running_sum
 from memloom.session import cut_lineage
 
-#: Groups that are units of their own, at most; labels told apart, at most; hashed units of each label.
-LARGE, LABELS, BUCKETS = 5_000, 64, 128
+#: Groups that are assigned one by one, at most.
+LARGE = 5_000
 SPLITS = ("train", "val", "test")
 
 
@@ -110,10 +111,10 @@ def split_conflicts(df: DataFrame, id_col: str, written: list[str], entities: li
     return join_unique(rows, dim, "spelling", "n", total).select(id_col)
 
 
-def assign_units(sizes: np.ndarray, shares: np.ndarray) -> np.ndarray:
-    """The split of each unit. sizes: units x labels; shares: of the splits. Largest unit first, each to the split
-    that leaves the least sum of squared deviations, each label's in units of its total."""
-    totals = sizes.sum(axis=0)
+def assign_units(sizes: np.ndarray, shares: np.ndarray, totals: np.ndarray | None = None) -> np.ndarray:
+    """The split of each unit. sizes: units x labels; shares: of the splits; totals: of the labels, by default of the units. Largest unit
+    first, each to the split that leaves the least sum of squared deviations, each label's in units of its total."""
+    totals = sizes.sum(axis=0) if totals is None else totals
     weight = 1.0 / np.maximum(totals, 1) ** 2
     goal = np.outer(shares, totals).astype(float)
     all_goal = goal.sum(axis=1)
@@ -141,7 +142,7 @@ def assign_splits(df: DataFrame, targets: DataFrame, id_col: str, written: list[
 def assign_labelled(df: DataFrame, targets: DataFrame, id_col: str, written: list[str], entities: list[Column], label: Column) -> DataFrame:
     """``assign_splits`` with the label of each row."""
     spark = df.sparkSession
-    goal = sorted((r["split"], float(r["target_share"])) for r in targets.select("split", "target_share").limit(1000).collect())
+    goal = sorted((r["split"], float(r["target_share"])) for r in targets.select("split", "target_share").collect())
     if not goal or sum(g[1] for g in goal) <= 0:
         raise ValueError("targets need a positive share")
     names = [g[0] for g in goal]
@@ -150,44 +151,68 @@ def assign_labelled(df: DataFrame, targets: DataFrame, id_col: str, written: lis
 
     e = F.array_sort(F.array_distinct(F.filter(F.array(*entities), lambda x: x.isNotNull())))
     rows = df.select(F.col(f"`{id_col}`").alias("id"), _spelling(written).alias("spelling"), e.alias("entities"), F.coalesce(label.cast("string"), F.lit("")).alias("label"))
-    common = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(LABELS - 1).collect()
-    slots = {r.label: k for k, r in enumerate(common)}
-    slot = F.coalesce(F.create_map(*[F.lit(x) for kv in slots.items() for x in kv])[F.col("label")], F.lit(LABELS - 1)) if slots else F.lit(0)
-    rows = rows.withColumn("slot", slot)
-
     grouped = rows.filter(F.size("entities") > 0)
+    alone = rows.filter(F.size("entities") == 0).select("id", F.concat(F.lit("row "), F.coalesce(F.col("id").cast("string"), F.lit(""))).alias("group_id"), "label")
     nodes = cut_lineage(grouped.groupBy("spelling", "entities").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n")))
-    component = propagate(nodes).withColumnRenamed("label", "group")
-    counts = grouped.groupBy("spelling", "slot").agg(F.count(F.lit(1)).alias("k"))
-    per_group = cut_lineage(counts.join(component, "spelling").groupBy("group", "slot").agg(F.sum("k").alias("k")))
-    alone = rows.filter(F.size("entities") == 0).select("id", "slot", "label")
-
-    total = rows.count()
-    w = per_group.groupBy("group").agg(F.sum("k").alias("n"), F.max_by("slot", F.struct("k", -F.col("slot"))).alias("main"))
-    unit = F.when(F.col("n") * LARGE > total, F.concat(F.lit("g"), F.col("group").cast("string"))).otherwise(_small_unit(F.col("main"), F.col("group")))
-    of_group = cut_lineage(w.select("group", unit.alias("unit")))
-    sums = per_group.join(of_group, "group").groupBy("unit", "slot").agg(F.sum("k").alias("k"))
-    sums_alone = alone.groupBy(_small_unit(F.col("slot"), F.col("id")).alias("unit"), "slot").agg(F.count(F.lit(1)).alias("k"))
-    table = sums.unionByName(sums_alone).groupBy("unit", "slot").agg(F.sum("k").alias("k")).collect()
-
-    index = {u: k for k, u in enumerate(sorted({r.unit for r in table}))}
-    sizes = np.zeros((len(index), LABELS), dtype=np.int64)
-    for r in table:
-        sizes[index[r.unit], r.slot] += r.k
-    chosen = assign_units(sizes, shares) if index else []
-    # At most LARGE + LABELS * BUCKETS rows.
-    units = F.broadcast(spark.createDataFrame([(u, names[int(chosen[k])]) for u, k in index.items()], "unit string, split string"))
-
-    dim = nodes.groupBy("spelling").agg(F.sum("n").alias("n")).join(component, "spelling").join(of_group, "group").join(units, "unit")
-    dim = cut_lineage(dim.select("spelling", "n", F.col("group").cast("string").alias("group_id"), "split"))
-    kept = join_unique(grouped.select("id", "spelling", "label"), dim, "spelling", "n", total).select("id", "group_id", "split", "label")
-    lone = alone.withColumn("unit", _small_unit(F.col("slot"), F.col("id"))).join(units, "unit")
-    lone = lone.select("id", F.concat(F.lit("row "), F.coalesce(F.col("id").cast("string"), F.lit(""))).alias("group_id"), "split", "label")
+    component = cut_lineage(propagate(nodes).select("spelling", F.col("label").cast("string").alias("group_id")))
+    counts = grouped.groupBy("spelling", "label").agg(F.count(F.lit(1)).alias("k")).join(component, "spelling")
+    per_group = counts.groupBy("group_id", "label").agg(F.sum("k").alias("k"))
+    per_group = cut_lineage(per_group.unionByName(alone.groupBy("group_id", "label").agg(F.count(F.lit(1)).alias("k"))))
+    of_label = cut_lineage(per_group.groupBy("label").agg(F.sum("k").alias("all")))
+    total = of_label.agg(F.sum("all")).first()[0] or 0
+    groups = per_group.groupBy("group_id").agg(F.sum("k").alias("n"), F.max_by("label", F.struct("k", "label")).alias("main"))
+    groups = cut_lineage(groups.withColumn("large", F.col("n") * LARGE > total))
+
+    large = _large_groups(per_group, groups, of_label, shares, names)
+    small = _small_groups(per_group, groups.filter("not large").drop("large"), large, of_label, shares, names)
+    split = cut_lineage(large.select("group_id", "split").unionByName(small).join(groups.select("group_id", "n"), "group_id"))
+
+    sizes = nodes.groupBy("spelling").agg(F.sum("n").alias("m"))
+    dim = cut_lineage(sizes.join(component, "spelling").join(split.drop("n"), "group_id").select("spelling", "m", "group_id", "split"))
+    kept = join_unique(grouped.select("id", "spelling", "label"), dim, "spelling", "m", total).select("id", "group_id", "split", "label")
+    lone = join_unique(alone, split, "group_id", "n", total).select("id", "group_id", "split", "label")
     return kept.unionByName(lone).withColumnRenamed("id", id_col)
 
 
-def _small_unit(slot: Column, key: Column) -> Column:
-    return F.concat_ws("_", F.lit("b"), slot.cast("string"), F.pmod(F.xxhash64(key.cast("string")), F.lit(BUCKETS)).cast("string"))
+def _large_groups(per_group: DataFrame, groups: DataFrame, of_label: DataFrame, shares: np.ndarray, names: list[str]) -> DataFrame:
+    """(group_id, split) of the large groups, by the greedy step."""
+    spark = per_group.sparkSession
+    total = of_label.agg(F.sum("all")).first()[0] or 0
+    common = {r.label: (k, r["all"]) for k, r in enumerate(of_label.filter(F.col("all") * LARGE > total).orderBy("label").collect())}
+    told = of_label.filter(F.col("all") * LARGE > total).select("label", F.col("label").alias("told"))
+    cells = per_group.join(groups.filter("large").select("group_id"), "group_id").join(told, "label", "left")
+    table = cells.groupBy("group_id", "told").agg(F.sum("k").alias("k")).collect()
+    index = {g: k for k, g in enumerate(sorted({r.group_id for r in table}))}
+    sizes = np.zeros((len(index), len(common) + 1), dtype=np.int64)
+    for r in table:
+        sizes[index[r.group_id], common[r.told][0] if r.told is not None else len(common)] += r.k
+    totals = np.array([*(n for _, n in common.values()), total - sum(n for _, n in common.values())], np.int64)
+    chosen = assign_units(sizes, shares, totals) if index else []
+    return spark.createDataFrame([(g, names[int(chosen[k])]) for g, k in index.items()], "group_id string, split string")
+
+
+def _small_groups(per_group: DataFrame, small: DataFrame, large: DataFrame, of_label: DataFrame, shares: np.ndarray, names: list[str]) -> DataFrame:
+    """(group_id, split) of the groups of ``small`` (group_id, n, main): each stratum's running sum, cut at what is left of its targets."""
+    have = per_group.join(large, "group_id").groupBy("label")
+    have = have.agg(*[F.sum(F.when(F.col("split") == s, F.col("k")).otherwise(0)).alias(f"__have{i}") for i, s in enumerate(names)])
+    strata = small.groupBy(F.col("main").alias("label")).agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("m"))
+    strata = strata.join(of_label, "label").join(have, "label", "left")
+    want = [F.greatest(F.lit(float(x)) * F.col("all") - F.coalesce(F.col(f"__have{i}"), F.lit(0)), F.lit(0.0)) for i, x in enumerate(shares)]
+    whole = sum(want[1:], want[0])
+    cuts, at = [], F.lit(0.0)
+    for w, x in zip(want, shares):
+        at = at + F.when(whole > 0, w / whole).otherwise(F.lit(float(x)))
+        cuts.append(at)
+    phase = F.pmod(F.xxhash64("label"), F.lit(1 << 20)) / float(1 << 20)
+    strata = cut_lineage(strata.select(F.col("label").alias("main"), "rows", "m", phase.alias("phase"), F.array(*cuts).alias("cuts")))
+    hashed = small.withColumn("h", F.xxhash64("group_id"))
+    placed = running_sum(hashed, ["main"], ["h", "group_id"], F.col("n"), "before")
+    placed = join_unique(placed, strata, "main", "m", small.count())
+    place = F.pmod((F.col("before") + F.col("n") / 2) / F.col("rows") + F.col("phase"), F.lit(1.0))
+    split = F.lit(names[-1])
+    for i in reversed(range(len(names) - 1)):
+        split = F.when(place < F.col("cuts")[i], names[i]).otherwise(split)
+    return placed.select("group_id", split.alias("split"))
 
 
 def split_report(assigned: DataFrame, targets: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ def corpus():
 
 def test_shares_caps_and_order(spark):
     total = 60_000
-    mix = mixing.mix_sources(sized(spark, corpus()), targets(spark), total).collect()
+    mix = mixing.mix_sources(sized(spark, corpus()), targets(spark), total, block_tokens=64).collect()
     got, uses = collections.Counter(), collections.Counter()
     for r in mix:
         got[r.source] += r.n_tokens
@@ -32,6 +32,8 @@ def test_shares_caps_and_order(spark):
     for s, i, p in uses:
         passes[s, i].add(p)
     assert all(len(p) <= {"a": 1, "b": 3, "c": 2}[s] for (s, _), p in passes.items())
+    # Documents of a slot have an order.
+    assert len({(r.slot, r.place) for r in mix}) == len(mix) and all(0 <= r.place < 64 for r in mix)
     # Every prefix has the shares.
     last = max(r.slot for r in mix)
     half = collections.Counter()

@@ -108,3 +108,23 @@ def test_report_is_over_all_labels(spark):
     report = {r.split: r for r in got.collect()}
     assert report["test"].max_label_deviation == pytest.approx(2000 / 2001)
     assert report["train"].rows == 2000 and report["val"].rows == 0
+
+
+def test_all_labels_and_many_small_groups(spark):
+    # 300 labels, most of them rare, and more groups than any number of units on the driver.
+    rows = [(k, f"c{k // 2}", f"l{min((k // 2) % 6000, 299)}") for k in range(24_000)] + [(100_000 + k, None, f"l{k % 300}") for k in range(3000)]
+    df = spark.createDataFrame(rows, "row_id bigint, c string, kind string")
+    got = splits.assign_labelled(df, targets(spark), "row_id", ["c"], [F.col("c")], F.col("kind"))
+    assert got.count() == len(rows) and got.join(df.filter("c is not null"), "row_id").groupBy("c").agg(F.countDistinct("split").alias("n")).filter("n > 1").count() == 0
+    n = {r.split: r["count"] for r in got.groupBy("split").count().collect()}
+    assert all(abs(n[s] / len(rows) - x) < 0.01 for s, x in TARGETS)
+    label = {(r.label, r.split): r["count"] for r in got.groupBy("label", "split").count().collect()}
+    assert all(abs(label["l299", s] / sum(label["l299", t] for t, _ in TARGETS) - x) < 0.01 for s, x in TARGETS)
+
+
+def test_large_groups_leave_the_rest_to_small_ones(spark):
+    rows = [(k, "hot", "q") for k in range(3000)] + [(3000 + k, f"c{k}", "q") for k in range(7000)]
+    df = spark.createDataFrame(rows, "row_id bigint, c string, kind string")
+    got = splits.assign_labelled(df, targets(spark), "row_id", ["c"], [F.col("c")], F.col("kind"))
+    n = {r.split: r["count"] for r in got.groupBy("split").count().collect()}
+    assert all(abs(n[s] / 10_000 - x) < 0.002 for s, x in TARGETS)
