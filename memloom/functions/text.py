@@ -66,13 +66,47 @@ def tokens(normalized: Column) -> Column:
     return F.when(normalized == "", F.array().cast("array<string>")).otherwise(F.split(normalized, " "))
 
 
-def f1_of_tokens(a: Column, b: Column, empty: str = "zero") -> Column:
-    """F1 of two token multisets. ``empty``: ``zero`` gives 0 if a side is empty, ``equal`` 1 if both are."""
-    both = F.aggregate(
+def _with(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def histogram(values: Column) -> Column:
+    """(x, n) of the distinct values, in their order: sorted once, and read once for the starts of their runs."""
+
+    def of(s: Column) -> Column:
+        starts = F.filter(F.transform(s, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda e: (e["i"] == 0) | (F.get(s, e["i"] - 1) != e["x"]))
+        length = lambda t: F.transform(t, lambda e, k: F.struct(e["x"].alias("x"), (F.coalesce(F.get(t, k + 1)["i"], F.size(s)) - e["i"]).alias("n")))
+        return _with(starts, length)
+
+    return _with(F.array_sort(values), of)
+
+
+def common_tokens(a: Column, b: Column) -> Column:
+    """Size of the intersection of two multisets: of both histograms in one order, equal values are neighbours."""
+
+    def of(h: Column) -> Column:
+        here = F.filter(F.sequence(F.lit(0), F.size(h)), lambda k: F.get(h, k)["x"] == F.get(h, k + 1)["x"])
+        return F.aggregate(here, F.lit(0), lambda n, k: n + F.least(F.get(h, k)["n"], F.get(h, k + 1)["n"]))
+
+    return _with(F.array_sort(F.concat(histogram(a), histogram(b))), of)
+
+
+#: Product of two token counts up to which comparing every token with every other is quicker than sorting; the result is the same.
+SHORT_PAIR = 1024
+
+
+def _common_of_short(a: Column, b: Column) -> Column:
+    return F.aggregate(
         F.array_intersect(a, b),
         F.lit(0),
         lambda n, x: n + F.least(F.size(F.filter(a, lambda y: y == x)), F.size(F.filter(b, lambda y: y == x))),
-    ).cast("double")
+    )
+
+
+def f1_of_tokens(a: Column, b: Column, empty: str = "zero") -> Column:
+    """F1 of two token multisets. ``empty``: ``zero`` gives 0 if a side is empty, ``equal`` 1 if both are."""
+    both = F.when(F.size(a) * F.size(b) > SHORT_PAIR, common_tokens(a, b)).otherwise(_common_of_short(a, b)).cast("double")
     p, r = both / F.size(a), both / F.size(b)
     none = F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(0.0) if empty == "equal" else F.lit(0.0)
     return F.when((F.size(a) == 0) | (F.size(b) == 0), none).when(both == 0, 0.0).otherwise(2 * p * r / (p + r))

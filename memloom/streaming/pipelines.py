@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -30,23 +31,21 @@ def unseen(stream: DataFrame, key: str, time: str, late: str) -> DataFrame:
 
 
 def process_once(requests: DataFrame, key: str, done_path: str, checkpoint: str, work: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """Runs ``work`` on the requests of each batch that have no result yet and appends the results as Parquet under ``done_path``.
-    A batch that is run again after a failure finds its own results there and adds nothing: each key is answered once."""
+    """Runs ``work`` on the requests whose key has not come before and keeps the results as Parquet under ``done_path``: each key is
+    answered once. Keys that have come are the query's state, so no batch reads earlier results; a batch that is run again after a failure
+    overwrites its own folder (the columns ``run`` and ``batch`` of the results). Only where results are there but the checkpoint is new are their keys excluded by a join."""
     spark = requests.sparkSession
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+    path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    exists = lambda p: path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(path(p))
+    todo = requests.dropDuplicates([key])
+    if exists(done_path) and not exists(f"{checkpoint}/commits"):
+        todo = todo.join(spark.read.parquet(done_path).select(key).distinct(), key, "left_anti").select(*requests.columns)
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        try:
-            done = spark.read.parquet(done_path).select(key)
-        except Exception as e:  # nothing written yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            done = None
-        todo = df.dropDuplicates([key])
-        if done is not None:
-            todo = todo.join(done, key, "left_anti")
-        work(todo).write.mode("append").parquet(done_path)
-
-    return requests.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        work(df).write.mode("overwrite").parquet(f"{done_path}/run={run}/batch={batch_id}")
+
+    return todo.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 # States of a trajectory.

@@ -127,3 +127,16 @@ def test_small_tools(spark):
     assert run(spark, ["key api_key=abc123, Bearer xyz.1 end"], T.redacted) == ["key api_key=[redacted], Bearer [redacted] end"]
     assert run(spark, [" a \r\n b\rc "], T.multiline) == ["a\nb\nc"]
     assert [r[0] for r in spark.createDataFrame([(1.25,), (float("nan"),), (None,)], "x double").select(T.fixed(F.col("x"), 1)).collect()][1:] == ["N/A", "N/A"]
+
+
+def test_common_tokens_of_long_and_short_texts(spark):
+    import random
+    from collections import Counter
+
+    rnd = random.Random(3)
+    rows = [([rnd.choice("abcdefgh") for _ in range(n)], [rnd.choice("cdefghij") for _ in range(m)]) for n, m in ((0, 5), (3, 4), (40, 60), (300, 200), (1, 2000))]
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>")
+    got = df.select(T.common_tokens(F.col("a"), F.col("b")).alias("n"), T.f1_of_tokens(F.col("a"), F.col("b")).alias("f")).collect()
+    for (a, b), r in zip(rows, got):
+        n = (Counter(a) & Counter(b)).total()
+        assert r.n == n and r.f == pytest.approx(2 * n / (len(a) + len(b)) if n else 0.0)
