@@ -6,7 +6,7 @@ segments apart (Cyrillic, Chinese), the lengths of the runs belong to the key: i
 characters, in UTF-8 bytes and in double bytes for what it may have been. Of a key's segments the commonest is met by all others.
 (2) Aligned by their marks, two twins yield pairs of runs that differ; of a pair the run of the commoner characters is the right one. A pair is a mapping of characters to what they became. Mappings are generalised to transformations (written in encoding A, read as B) that
 explain them exactly; each mapping speaks for the one that explains most mappings, and a transformation is learned if mappings of
-``MIN_SUPPORT`` characters speak for it. Mappings of single characters that no transformation explains are learned as
+``MIN_SUPPORT`` characters speak for it. Twins that are both wrong, and pairs that as well may be meant the other way round, speak for none. Mappings of single characters that no transformation explains are learned as
 they are if enough twins show them and nothing else. Characters that became U+FFFD are a learned loss. (3) What is learned, and
 nothing else, is applied backwards to all records; a restored stretch is taken where it is commoner than what stands there by the
 character-pair statistics of the whole corpus. Odd characters that are right gain nothing by this, so they stay.
@@ -43,6 +43,8 @@ MIN_SUPPORT, MIN_TWINS = 2, 3
 PURITY = 0.9
 #: Share of the segments that hold such a string which must have a twin that shows its mapping.
 SHOWN = 0.05
+#: Difference of log frequencies (nats) from which it is clear which of two runs is the right one.
+CLEAR = 3.0
 #: ASCII letters from which a frame alone makes twins.
 FRAME_LETTERS = 8
 #: Gain in log likelihood (nats) that makes a text a case. A whole multi-byte sequence of UTF-8 hardly comes about by chance, so it
@@ -248,6 +250,10 @@ class Commonness:
         """Mean log frequency of the characters."""
         return sum(math.log(self.single.get(c, 0) + 0.5) for c in text) / len(text)
 
+    def clearly(self, text: str, other: str) -> bool:
+        """Whether ``text`` is so much commoner than ``other`` that this is no chance."""
+        return (self.frequency(text) - self.frequency(other)) * min(len(text), len(other)) >= CLEAR
+
     def of(self, word: str, floor: float = -math.inf) -> float:
         """Log likelihood; -inf as soon as it is below ``floor``, as every further pair lowers it."""
         known = self.memo.get(word)
@@ -371,6 +377,21 @@ class Explainer:
             some += self.multi
         return sorted(k for k in some if garble(right, self.steps[k]) == wrong)
 
+    def speaks(self, wrong: str, right: str, mask: list[int], votes: dict[int, int], common: Commonness) -> bool:
+        """Whether a mapping explained by ``mask`` speaks for a transformation. ``votes``: the mappings that each transformation explains."""
+        most = max(votes[k] for k in mask)
+        # One of the two may have become the other: without a clear difference the better supported way counts.
+        if not common.clearly(right, wrong) and any(votes.get(k, 0) > most for k in self.explain(right, wrong)):
+            return False
+        for k, n in votes.items():
+            # The right one must not be wrong itself, in another way. Whole sequences of UTF-8 hardly come about by chance.
+            utf8 = self.steps[k].written == "utf-8"
+            if k not in mask and (utf8 or n > most):
+                back = restore(right, self.steps[k])
+                if back != right and "�" not in back and (utf8 or common.clearly(back, right)):
+                    return False
+        return True
+
 
 # ---------------------------------------------------------------------------------------------- Spark
 
@@ -455,7 +476,19 @@ def learn(df: DataFrame, text: str, common: Commonness) -> tuple[list[Step | Sub
     variants = cut_lineage(_variants(df, text))
     mapped = cut_lineage(spread(_run_pairs(variants)).mapInArrow(explain, "wrong string, right string, n bigint, mask array<int>"))
     explained = mapped.filter(F.size("mask") > 0)
-    votes = {r.k: r.n for r in explained.select(F.explode("mask").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def voted(df: DataFrame) -> dict[int, int]:
+        return {r.k: r.n for r in df.select(F.explode("mask").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    first = voted(explained)
+
+    def speaking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, e = Commonness(shared.value), Explainer(steps)
+        for b in batches:
+            yield b.filter(pa.array([e.speaks(*x, first, c) for x in zip(*(b.column(k).to_pylist() for k in (0, 1, 3)))], pa.bool_()))
+
+    explained = cut_lineage(explained.mapInArrow(speaking, explained.schema))
+    votes = voted(explained)
     learned: list[Step | Substitution] = []
     if votes:
         of = F.create_map(*[F.lit(x) for kv in votes.items() for x in kv])

@@ -132,3 +132,22 @@ def test_all_pairs_of_a_large_alphabet_are_counted(spark):
     assert pairs.get(chars[3] + chars[640]) == 1 and pairs.get(" " + chars[5]) == 650 and pairs.get("xy") == 0
     common = garbled.Commonness(pairs)
     assert common.single[" "] == common.first[" "] == 650 * 650
+
+
+def test_twins_that_are_both_wrong_speak_for_no_step(spark):
+    words = "хлеб дождь лампа письмо поезд ужин лодка ключ дверь корова".split()
+    sentences = [f"мы видели {w} вечером и потом долго думали об этом." for w in words]
+    bad = [garble(t, Step("utf-8", read)) for t in sentences for read in ("mac_roman", "cp1251")]
+    right = [*sentences * 3, *["voilà la clé, à côté de la maison"] * 300, *["τιμή 6 €"] * 20]
+    df = spark.createDataFrame(list(enumerate([*bad, *right])), "doc_id bigint, text string")
+    steps, _ = garbled.learn(df, "text", garbled.Commonness(garbled.corpus_pairs(df)))
+    assert set(steps) == {Step("utf-8", "mac_roman"), Step("utf-8", "cp1251")}
+    assert sorted(r.doc_id for r in garbled.garbled_documents(df, "doc_id").collect()) == list(range(len(bad)))
+
+
+def test_pairs_of_two_directions_speak_for_the_better_supported():
+    steps = [Step("cp1252", "cp850"), Step("cp850", "cp1251"), Step("utf-8", "cp1251")]
+    common, explainer = garbled.Commonness({"aò": 120, "a•": 100, "a’": 500, "éa": 500}), garbled.Explainer(steps)
+    assert explainer.explain("•", "ò") == [1] and not explainer.speaks("•", "ò", [1], {0: 5, 1: 4}, common)
+    assert explainer.speaks("•", "ò", [1], {0: 4, 1: 4}, common)
+    assert explainer.speaks("Æ", "’", [0], {0: 1, 1: 4}, common)
