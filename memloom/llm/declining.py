@@ -4,8 +4,8 @@ Model. Features are the 1- to 3-grams of a sentence's words (names behind the fi
 classifier tells sentences that decline from others by the log ratio of the two classes' shares, which are taken by language, so that a
 language in which much or little is declined counts for nothing by itself.
 
-Fit, by expectation maximisation from positive and unlabelled texts: (1) against the ``SEEDS`` and the no-answer sentences that the
-sample's system messages prescribe stand the sentences of a sample of documents, those of the sample's answers that share a rare word with
+Fit, by expectation maximisation from positive and unlabelled texts: (1) against the ``SEEDS`` and the no-answer sentences that
+system messages prescribe stand the sentences of the documents, those of the answers that share a rare word with
 their question, and, at a lower weight, those of the other answers. (2) Distinct answers whose sentences together decline are the
 positives of the next round, courtesies and all, and the others its negatives. So a way of declining that no seed holds is learned
 from the courtesies that close it, and courtesies from the refusals they close.
@@ -13,8 +13,8 @@ from the courtesies that close it, and courtesies from the refusals they close.
 An answer only declines if each of its sentences is likelier to decline than not and one of them by ``MARGIN``. Answers of any length are
 judged whole.
 
-Plan. The sample (``FIT_ROWS`` rows by a hash) is turned into hashed features once; each round is one small aggregate of counts
-over distinct answers. Weights are one float for each of the ``2 ** BITS`` places, whatever the corpus.
+Plan. All answers are turned into hashed features once; each round is one small aggregate of counts over the distinct ones. Common words,
+at most 1 / ``COMMON`` times the words of a mean answer, come to the driver. Weights are one float for each of the ``2 ** BITS`` places, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from memloom.llm.endings import token_pattern
-from memloom.session import cut_lineage, ship
+from memloom.session import cut_lineage, ship, spread
 
 #: Places that n-grams are hashed to, as a power of two.
 BITS = 18
@@ -38,7 +38,7 @@ ROUNDS = 3
 ROUND_MARGIN, MARGIN = 8.0, 3.0
 #: Weight of a seed, of an answer of which nothing is known, and of the shares over both classes.
 SEED_WEIGHT, UNKNOWN_WEIGHT, PRIOR = 3, 0.3, 300.0
-#: Share of the sample's answers from which a word is common.
+#: Share of the answers from which a word is common.
 COMMON = 0.01
 
 #: Sentences that decline, by language, as seeds of the fit.
@@ -218,7 +218,7 @@ def _batch(counts: dict[tuple[int, str], list[np.ndarray]], weight: dict | None
 
 
 def fit_declining(answers: DataFrame, labelled: DataFrame, languages, sentences_of, prescribed_of) -> np.ndarray:
-    """The weights. ``answers``: a sample (question, system, text); ``labelled``: a sample (text, code); ``languages``: a language model;
+    """The weights. ``answers``: (question, system, text); ``labelled``: (text, code); ``languages``: a language model;
     ``sentences_of`` gives the sentences of an answer, ``prescribed_of`` the no-answer sentences of a system message."""
     spark = answers.sparkSession
     ship(spark)
@@ -248,19 +248,26 @@ def fit_declining(answers: DataFrame, labelled: DataFrame, languages, sentences_
             cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.list_(pa.list_(pa.int32())), *[pa.list_(pa.string())] * 3))]
             yield pa.RecordBatch.from_arrays(cols, names=["lang", "sents", "words", "asked", "prescribed"])
 
-    documents = _counted(labelled.mapInArrow(of_documents, _COUNTS), names)[0]
-    seen = cut_lineage(answers.mapInArrow(of_answers, "lang string, sents array<array<int>>, words array<string>, asked array<string>, prescribed array<string>"))
-    seen = seen.withColumn("row", F.monotonically_increasing_id())
-    shared_words = seen.select("row", F.explode(F.array_intersect("words", "asked")).alias("w"))
-    rare = seen.select(F.explode("words").alias("w")).groupBy("w").count().filter(F.col("count") <= COMMON * seen.count())
-    grounded = shared_words.join(rare, "w").select("row").distinct().withColumn("grounded", F.lit(True))
-    known = seen.filter(F.size("sents") > 0).select("row", "lang", "sents").join(grounded, "row", "left")
-    distinct = cut_lineage(known.groupBy("lang", "sents").agg(F.coalesce(F.max("grounded"), F.lit(False)).alias("grounded")))
-
-    seeds = [*SEEDS.split("\n"), *(r.p for r in seen.select(F.explode("prescribed").alias("p")).distinct().collect())]
+    def of_prescribed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts: dict[tuple[int, str], list[np.ndarray]] = {}
+            for p in b.column(0).to_pylist():
+                if p.strip():
+                    counts.setdefault((10, best(p)), []).append(features([p])[0])
+            yield _batch(counts)
+
+    documents = _counted(spread(labelled).mapInArrow(of_documents, _COUNTS), names)[0]
+    seen = cut_lineage(spread(answers).mapInArrow(of_answers, "lang string, sents array<array<int>>, words array<string>, asked array<string>, prescribed array<string>"))
+    common = seen.select(F.explode("words").alias("w")).groupBy("w").count().filter(F.col("count") > COMMON * seen.count())
+    common = [r.w for r in common.select("w").collect()]
+    grounded = F.exists(F.array_intersect("words", "asked"), lambda w: ~w.isin(common))
+    known = seen.filter(F.size("sents") > 0).select("lang", "sents", grounded.alias("grounded"))
+    distinct = cut_lineage(known.groupBy("lang", "sents").agg(F.max("grounded").alias("grounded")))
+
+    prescribed = seen.select(F.explode("prescribed").alias("p")).distinct()
+    seeded = SEED_WEIGHT * _counted(prescribed.mapInArrow(of_prescribed, _COUNTS), names)[1]
     of = {k: i for i, k in enumerate(names)}
-    seeded = np.zeros((len(names), 1 << BITS))
-    for s in seeds:
+    for s in SEEDS.split("\n"):
         if s.strip():
             np.add.at(seeded[of[languages.best(s) or names[0]]], features([s])[0], SEED_WEIGHT)
 

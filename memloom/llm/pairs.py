@@ -5,8 +5,8 @@ posteriors; names, quoted words, numbers and ids are left out first. (2) The end
 an answer breaks off. (3) The naive Bayes classifier of ``declining`` tells answers that only decline. Copies are told by similarity to
 the question.
 
-Plan. Both classifiers are fitted on at most ``FIT_ROWS`` labelled texts and answers, the first by a hash of their text; their models are
-arrays of fixed size. One narrow pass over the answers judges everything but their ends; one more counts ends over all answers. Distinct
+Plan. Both classifiers are fitted on all labelled texts and all answers, by narrow passes that count n-grams a batch at a time; their models
+are arrays of fixed size. One narrow pass over the answers judges everything but their ends; one more counts ends over all answers. Distinct
 last words are joined to the counts of their contexts.
 
 Defined results: a null or blank text is ``empty`` whatever the prompt; null messages leave only the defects that
@@ -33,8 +33,6 @@ from memloom.llm.endings import END_SHARE, Places, count_ends, end_shares
 from memloom.operators.skew import join_unique
 from memloom.session import cut_lineage, ship, spread
 
-#: Labelled texts that the language model is fitted on, and answers that the model of refusals is fitted on, at most.
-FIT_ROWS = 20_000
 #: Places that character n-grams are hashed to, as a power of two.
 GRAM_BITS = 17
 #: Differences of log posteriors from which the answer and the question are held to be of one language and not the other's. Single words
@@ -326,24 +324,19 @@ def defects_of(questions: list, systems: list, texts: list, languages: Languages
 # ---------------------------------------------------------------------------------------------- Spark
 
 
-def sample_rows(df: DataFrame, text: str, rows: int = FIT_ROWS) -> DataFrame:
-    """At most ``rows`` rows of ``df``, the first by a hash of their text."""
-    # Only texts whose hash is small enough can be among them, so few are ever sorted.
-    share = min(1.0, 2.0 * rows / max(1, df.count()))
-    df = df.withColumn("__h", F.xxhash64(text)).filter(F.col("__h") <= min(2**63 - 1, int(2**64 * share) - 2**63))
-    return df.orderBy("__h", *df.columns[:-1]).limit(rows).drop("__h")
+def labelled_texts(labelled: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """(text, code) of all texts with a language code, which the models are fitted on."""
+    code = F.lower(F.regexp_extract(F.col(f"`{lang}`"), r"^\s*([A-Za-z]{2})(?![A-Za-z])", 1))
+    return labelled.select(F.col(f"`{text}`").cast("string").alias("text"), code.alias("code")).filter("text is not null and code <> ''")
 
 
-def labelled_sample(labelled: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(text, code) of the texts that the models are fitted on."""
-    code = F.lower(F.regexp_extract(F.col(f"`{lang}`"), r"^\s*([A-Za-z]{2})(?![A-Za-z])", 1))
-    rows = labelled.select(F.col(f"`{text}`").cast("string").alias("text"), code.alias("code")).filter("text is not null and code <> ''")
-    return sample_rows(rows, "text")
+#: The name under which the texts were had when they were a sample.
+labelled_sample = labelled_texts
 
 
-def fit_languages(sample: DataFrame) -> Languages:
-    """``sample``: (text, code)."""
-    ship(sample.sparkSession)
+def fit_languages(texts: DataFrame) -> Languages:
+    """``texts``: (text, code)."""
+    ship(texts.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -358,7 +351,7 @@ def fit_languages(sample: DataFrame) -> Languages:
             cols = [pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.string(), pa.int32(), pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, names=["code", "place", "n"])
 
-    counted = sample.mapInArrow(count, "code string, place int, n bigint").groupBy("code", "place").agg(F.sum("n").alias("n")).toArrow()
+    counted = spread(texts).mapInArrow(count, "code string, place int, n bigint").groupBy("code", "place").agg(F.sum("n").alias("n")).toArrow()
     codes = counted.column("code").to_pylist()
     names = sorted(set(codes))
     of = {k: i for i, k in enumerate(names)}
@@ -384,10 +377,10 @@ def defective_pairs(answers: DataFrame, labelled: DataFrame, id_col: str = "answ
     ship(spark)
     m = F.col(f"`{messages}`")
     slim = answers.select(F.col(f"`{id_col}`").alias("id"), question_of(m).alias("question"), system_of(m).alias("system"), F.col(f"`{text}`").cast("string").alias("text"))
-    sample = cut_lineage(labelled_sample(labelled).repartition(spark.sparkContext.defaultParallelism))
-    languages = fit_languages(sample)
-    asked = sample_rows(slim.select("question", "system", "text").filter("text is not null"), "text")
-    weights = fit_declining(asked.repartition(spark.sparkContext.defaultParallelism), sample, languages, answer_sentences, prescribed)
+    texts = labelled_texts(labelled)
+    languages = fit_languages(texts)
+    asked = slim.select("question", "system", "text").filter("text is not null")
+    weights = fit_declining(asked, texts, languages, answer_sentences, prescribed)
     shared = spark.sparkContext.broadcast((languages, weights))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

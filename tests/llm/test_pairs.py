@@ -189,3 +189,20 @@ def test_common_length():
     for _ in range(300):
         a, b = ("".join(rnd.choice("abcd") for _ in range(rnd.randint(0, 90))) for _ in range(2))
         assert pairs.common_length(a, b) == by_hand(a, b)
+
+
+def test_models_are_fitted_on_all_rows(spark, monkeypatch):
+    answers, docs = frames(spark)
+    n = 20_500
+    many = spark.range(n).select((F.col("id") + 10_000).alias("answer_id"), F.lit(None).cast(answers.schema["messages"].dataType).alias("messages"), F.concat(F.lit("Box "), "id").alias("text"), F.lit("x").alias("defect"))
+    texts = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("the box "), "id").alias("text"), F.lit("en").alias("lang"))
+    fitted = {}
+
+    def fit(asked, labelled, *args):
+        fitted.update(answers=asked.filter("text like 'Box %'").count(), labelled=labelled.filter("text like 'the box %'").count())
+        return real(asked.limit(50), labelled.limit(50), *args)
+
+    real = pairs.fit_declining
+    monkeypatch.setattr(pairs, "fit_declining", fit)
+    pairs.defective_pairs(answers.unionByName(many), docs.unionByName(texts))
+    assert fitted == {"answers": n, "labelled": n}
