@@ -106,33 +106,39 @@ Niestety nie potrafię tego powiedzieć.
 申し訳ございませんが、答えられません。
 """
 
-_hashes: dict[str, int] = {}
+_hashes: dict[str, tuple[int, ...]] = {}
 
 
 def _hash(token: str) -> int:
-    known = _hashes.get(token)
-    if known is None:
-        if len(_hashes) > 500_000:
-            _hashes.clear()
-        known = _hashes[token] = zlib.crc32(token.encode("utf-8", "surrogatepass"))
+    return zlib.crc32(token.encode("utf-8", "surrogatepass"))
+
+
+_BEGIN, _END = _hash("^"), _hash("$")
+
+
+def _token_codes(token: str) -> tuple[int, ...]:
+    """The codes of a token as the first of its sentence and behind the first; none of a mark."""
+    if len(_hashes) > 500_000:
+        _hashes.clear()
+    known: tuple[int, ...] = ()
+    if token[0].isalnum():
+        one = _hash("0" if any(x.isdigit() for x in token) else token.lower())
+        name = token[0].isupper() and len(token) > 1 and not any(x.isdigit() for x in token)
+        known = (one, _hash("N") if name else one)
+    _hashes[token] = known
     return known
 
 
 def _codes(sentence: str) -> list[int]:
-    out, first = [_hash("^")], True
+    out, first = [_BEGIN], 0
     for t in token_pattern.findall(sentence.replace("’", "'")):
-        c = t[0]
-        if not c.isalnum():
-            continue
-        if any(x.isdigit() for x in t):
-            t = "0"
-        elif not first and c.isupper() and len(t) > 1:
-            t = "N"
-        else:
-            t = t.lower()
-        first = False
-        out.append(_hash(t))
-    out.append(_hash("$"))
+        known = _hashes.get(t)
+        if known is None:
+            known = _token_codes(t)
+        if known:
+            out.append(known[first])
+            first = 1
+    out.append(_END)
     return out
 
 
@@ -238,14 +244,16 @@ def fit_declining(answers: DataFrame, labelled: DataFrame, languages, sentences_
 
     def of_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for q, s, t in zip(*(b.column(k).to_pylist() for k in range(3))):
-                parts = sentences_of(t)
-                places, of = features(parts)
-                sents = [np.sort(places[of == k]).tolist() for k in range(len(parts))]
-                words = sorted({w.lower() for p in parts for w in _WORDS.findall(p)})
-                rows.append((best(t), sents, words, sorted({w.lower() for w in _WORDS.findall(q or "")}), prescribed_of(s)))
-            cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.list_(pa.list_(pa.int32())), *[pa.list_(pa.string())] * 3))]
+            asked, systems, texts = (b.column(k).to_pylist() for k in range(3))
+            parts = [sentences_of(t) for t in texts]
+            places, of = features(flat := [x for p in parts for x in p])
+            upto = lambda n: pa.array(np.append(0, np.cumsum(n)), pa.int32())
+            sents = pa.ListArray.from_arrays(upto(np.bincount(of, minlength=len(flat))), pa.array(places[np.lexsort((places, of))], pa.int32()))
+            sents = pa.ListArray.from_arrays(upto([len(p) for p in parts]), sents)
+            words = [sorted({w.lower() for x in p for w in _WORDS.findall(x)}) for p in parts]
+            asked = [sorted({w.lower() for w in _WORDS.findall(q or "")}) for q in asked]
+            lists = [pa.array(x, pa.list_(pa.string())) for x in (words, asked, [prescribed_of(s) for s in systems])]
+            cols = [pa.array([best(t) for t in texts], pa.string()), sents, *lists]
             yield pa.RecordBatch.from_arrays(cols, names=["lang", "sents", "words", "asked", "prescribed"])
 
     def of_prescribed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

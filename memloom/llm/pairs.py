@@ -89,18 +89,32 @@ def language_words(text: str) -> list[str]:
                 out.extend(_WIDE_RUN.findall(token))
                 first = False
                 continue
-            if _DIGIT.search(token):
-                continue
-            for w in _SPACED_WORD.findall(token):
-                if w[0].islower():
-                    out.extend(x for x in (opening, w.lower()) if x)
-                    opening = ""
-                elif first and len(w) > 1 and w[1:].islower():
-                    opening = w.lower()
+            for w, begins_lower, name_like in _token_words(token):
+                if begins_lower:
+                    if opening:
+                        out.append(opening)
+                        opening = ""
+                    out.append(w)
+                elif first and name_like:
+                    opening = w
                 first = False
     return out
 
 
+_tokens: dict[str, list[tuple[str, bool, bool]]] = {}
+
+
+def _token_words(token: str) -> list[tuple[str, bool, bool]]:
+    """(lower-case word, whether it begins lower, whether only its first letter is not lower) of the words of a token without digits."""
+    known = _tokens.get(token)
+    if known is None:
+        if len(_tokens) > 300_000:
+            _tokens.clear()
+        words = [] if _DIGIT.search(token) else _SPACED_WORD.findall(token)
+        known = _tokens[token] = [(w.lower(), w[0].islower(), len(w) > 1 and w[1:].islower()) for w in words]
+    return known
+
+
 _SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
