@@ -13,7 +13,7 @@ from the courtesies that close it, and courtesies from the refusals they close.
 An answer only declines if each of its sentences is likelier to decline than not and one of them by ``MARGIN``. Answers of any length are
 judged whole.
 
-Plan. All answers are turned into hashed features once; each round is one small aggregate of counts over the distinct ones. Common words,
+Plan. All answers are read and turned into hashed features once; each round is one small aggregate of counts over the distinct ones. Common words,
 at most 1 / ``COMMON`` times the words of a mean answer, come to the driver. Weights are one float for each of the ``2 ** BITS`` places, whatever the corpus.
 """
 
@@ -21,13 +21,15 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from memloom.llm.endings import token_pattern
+from memloom.llm.endings import Places, token_pattern
 from memloom.session import cut_lineage, ship, spread
 
 #: Places that n-grams are hashed to, as a power of two.
@@ -106,8 +108,6 @@ Niestety nie potrafię tego powiedzieć.
 申し訳ございませんが、答えられません。
 """
 
-_hashes: dict[str, tuple[int, ...]] = {}
-
 
 def _hash(token: str) -> int:
     return zlib.crc32(token.encode("utf-8", "surrogatepass"))
@@ -116,30 +116,29 @@ def _hash(token: str) -> int:
 _BEGIN, _END = _hash("^"), _hash("$")
 
 
-def _token_codes(token: str) -> tuple[int, ...]:
-    """The codes of a token as the first of its sentence and behind the first; none of a mark."""
-    if len(_hashes) > 500_000:
-        _hashes.clear()
-    known: tuple[int, ...] = ()
-    if token[0].isalnum():
-        one = _hash("0" if any(x.isdigit() for x in token) else token.lower())
-        name = token[0].isupper() and len(token) > 1 and not any(x.isdigit() for x in token)
-        known = (one, _hash("N") if name else one)
-    _hashes[token] = known
-    return known
-
-
-def _codes(sentence: str) -> list[int]:
-    out, first = [_BEGIN], 0
-    for t in token_pattern.findall(sentence.replace("’", "'")):
-        known = _hashes.get(t)
-        if known is None:
-            known = _token_codes(t)
-        if known:
-            out.append(known[first])
-            first = 1
-    out.append(_END)
-    return out
+class _Runs(dict):
+    """Numbers of runs without spaces, which no token crosses. ``codes`` holds the codes of the tokens of all runs as behind the first
+    of a sentence, marks left out, ``ends`` where those of each run end, ``heads`` the code of its first token as the first."""
+
+    def __init__(self):
+        self.codes, self.ends, self.heads = array("Q"), array("q", [0]), array("Q")
+
+    def __missing__(self, run: str) -> int:
+        head = 0
+        for t in token_pattern.findall(run.replace("’", "'")):
+            if t[0].isalnum():
+                digits = any(x.isdigit() for x in t)
+                one = _hash("0" if digits else t.lower())
+                head = head or one
+                self.codes.append(_NAME if t[0].isupper() and len(t) > 1 and not digits else one)
+        self.ends.append(len(self.codes))
+        self.heads.append(head)
+        self[run] = number = len(self)
+        return number
+
+
+_NAME = _hash("N")
+_runs = _Runs()
 
 
 def _place(x: np.ndarray) -> np.ndarray:
@@ -151,12 +150,25 @@ def _place(x: np.ndarray) -> np.ndarray:
 
 def features(sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(place, number of the sentence) of every n-gram."""
-    codes = [_codes(s) for s in sentences]
-    if not codes:
+    global _runs
+    if not sentences:
         return np.zeros(0, np.int32), np.zeros(0, np.int64)
-    n = np.array([len(c) for c in codes])
-    flat = np.array([x for c in codes for x in c], np.uint64)
-    of, last = np.repeat(np.arange(len(codes)), n), np.cumsum(n) - 1
+    if len(_runs) + len(_runs.codes) > 1_000_000:
+        _runs = _Runs()
+    runs = [s.split() for s in sentences]
+    number = np.array([*map(_runs.__getitem__, chain.from_iterable(runs))], np.int64)
+    codes, heads, ends = np.asarray(_runs.codes), np.asarray(_runs.heads), np.asarray(_runs.ends)
+    size = (ends[1:] - ends[:-1])[number]
+    run = np.repeat(np.arange(len(number)), size)
+    within = np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size)
+    words, of = codes[ends[number[run]] + within], np.repeat(np.arange(len(runs)), [len(x) for x in runs])[run]
+    first = np.diff(of, prepend=-1) > 0
+    words[first] = heads[number[run[first]]]
+    n = np.bincount(of, minlength=len(runs)) + 2
+    flat = np.full(n.sum(), _BEGIN, np.uint64)
+    flat[np.arange(len(words)) + 2 * of + 1] = words
+    of, last = np.repeat(np.arange(len(runs)), n), np.cumsum(n) - 1
+    flat[last] = _END
     inner = np.ones(len(flat), bool)
     inner[last] = inner[last - n + 1] = False
     k = np.uint64(1_000_003)
@@ -167,10 +179,10 @@ def features(sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return places, np.concatenate([of[inner], of[:-1][in_two], of[:-2][in_three]])
 
 
-def scores(weights: np.ndarray, sentences: list[str]) -> np.ndarray:
-    """Log ratio of each sentence; n-grams overlap threefold, hence the third."""
-    places, of = features(sentences)
-    return np.bincount(of, weights=weights[places], minlength=len(sentences)) / 3
+def scores(weights: np.ndarray, sentences: pa.ListArray) -> np.ndarray:
+    """Log ratio of each sentence, given by its places; n-grams overlap threefold, hence the third."""
+    n = sentences.value_lengths().to_numpy(zero_copy_only=False)
+    return np.bincount(np.repeat(np.arange(len(n)), n), weights=weights[sentences.flatten().to_numpy()], minlength=len(n)) / 3
 
 
 def fit_weights(positive: np.ndarray, negative: np.ndarray) -> np.ndarray:
@@ -183,11 +195,14 @@ def fit_weights(positive: np.ndarray, negative: np.ndarray) -> np.ndarray:
     return np.where(total > 0, (w * both).sum(axis=0) / np.maximum(total, 1e-9), 0.0).astype(np.float32)
 
 
-def only_decline(weights: np.ndarray, answers: list[list[str]]) -> list[bool]:
-    """Whether each answer, given by its sentences, only declines."""
-    s = scores(weights, [x for a in answers for x in a])
-    ends = np.cumsum([len(a) for a in answers])
-    return [bool(a and (x := s[e - len(a) : e]).max() >= MARGIN and x.min() > 0) for a, e in zip(answers, ends)]
+def only_decline(weights: np.ndarray, answers: pa.ListArray) -> np.ndarray:
+    """Whether each answer, given by the places of its sentences, only declines."""
+    n = answers.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    out, begin = np.zeros(len(n), bool), (np.cumsum(n) - n)[n > 0]
+    if len(begin):
+        s = scores(weights, answers.flatten())
+        out[n > 0] = (np.maximum.reduceat(s, begin) >= MARGIN) & (np.minimum.reduceat(s, begin) > 0)
+    return out
 
 
 # ---------------------------------------------------------------------------------------------- Spark
@@ -223,9 +238,10 @@ def _batch(counts: dict[tuple[int, str], list[np.ndarray]], weight: dict | None
     return pa.RecordBatch.from_arrays([cat(kinds, np.int32), pa.array(langs, pa.string()), cat(places, np.int32), cat(ns, np.float64)], names=["class", "lang", "place", "n"])
 
 
-def fit_declining(answers: DataFrame, labelled: DataFrame, languages, sentences_of, prescribed_of) -> np.ndarray:
-    """The weights. ``answers``: (question, system, text); ``labelled``: (text, code); ``languages``: a language model;
-    ``sentences_of`` gives the sentences of an answer, ``prescribed_of`` the no-answer sentences of a system message."""
+def fit_declining(answers: DataFrame, labelled: DataFrame, languages, read, sentences_of, prescribed_of) -> tuple[np.ndarray, DataFrame]:
+    """The weights, and the answers as read: (id, told, differs, ending, the places of each sentence ``sents``, and others). ``answers``: (id,
+    question, system, text); ``labelled``: (text, code); ``languages``: a language model; ``read`` reads answers as ``pairs.read_answers`` does,
+    ``sentences_of`` gives the sentences of a text, ``prescribed_of`` the no-answer sentences of a system message."""
     spark = answers.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(languages)
@@ -244,28 +260,33 @@ def fit_declining(answers: DataFrame, labelled: DataFrame, languages, sentences_
 
     def of_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            asked, systems, texts = (b.column(k).to_pylist() for k in range(3))
-            parts = [sentences_of(t) for t in texts]
+            asked, systems, texts = (b.column(k).to_pylist() for k in (1, 2, 3))
+            of_read = read(asked, systems, texts, shared.value)
+            parts = of_read["parts"]
             places, of = features(flat := [x for p in parts for x in p])
             upto = lambda n: pa.array(np.append(0, np.cumsum(n)), pa.int32())
             sents = pa.ListArray.from_arrays(upto(np.bincount(of, minlength=len(flat))), pa.array(places[np.lexsort((places, of))], pa.int32()))
             sents = pa.ListArray.from_arrays(upto([len(p) for p in parts]), sents)
-            words = [sorted({w.lower() for x in p for w in _WORDS.findall(x)}) for p in parts]
-            asked = [sorted({w.lower() for w in _WORDS.findall(q or "")}) for q in asked]
+            words = [list({w.lower() for x in p for w in _WORDS.findall(x)}) for p in parts]
+            asked = [list({w.lower() for w in _WORDS.findall(q or "")}) for q in asked]
             lists = [pa.array(x, pa.list_(pa.string())) for x in (words, asked, [prescribed_of(s) for s in systems])]
-            cols = [pa.array([best(t) for t in texts], pa.string()), sents, *lists]
-            yield pa.RecordBatch.from_arrays(cols, names=["lang", "sents", "words", "asked", "prescribed"])
+            endings = iter(Places(lines := [x for x in of_read["line"] if x is not None]).endings(len(lines)))
+            ending = pa.array([None if x is None else next(endings) for x in of_read["line"]], pa.string())
+            told = [pa.array(of_read["told"], pa.string()), pa.array(of_read["differs"], pa.bool_()), ending]
+            cols = [b.column(0), pa.array([x or names[0] for x in of_read["lang"]], pa.string()), sents, *lists, *told]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "lang", "sents", "words", "asked", "prescribed", "told", "differs", "ending"])
 
     def of_prescribed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts: dict[tuple[int, str], list[np.ndarray]] = {}
+            sentences: dict[str, list[str]] = {}
             for p in b.column(0).to_pylist():
                 if p.strip():
-                    counts.setdefault((10, best(p)), []).append(features([p])[0])
-            yield _batch(counts)
+                    sentences.setdefault(best(p), []).append(p)
+            yield _batch({(10, k): [features(s)[0]] for k, s in sentences.items()})
 
     documents = _counted(spread(labelled).mapInArrow(of_documents, _COUNTS), names)[0]
-    seen = cut_lineage(spread(answers).mapInArrow(of_answers, "lang string, sents array<array<int>>, words array<string>, asked array<string>, prescribed array<string>"))
+    kind = answers.schema["id"].dataType.simpleString()
+    seen = cut_lineage(spread(answers).mapInArrow(of_answers, f"id {kind}, lang string, sents array<array<int>>, words array<string>, asked array<string>, prescribed array<string>, told string, differs boolean, ending string"))
     common = seen.select(F.explode("words").alias("w")).groupBy("w").count().filter(F.col("count") > COMMON * seen.count())
     common = [r.w for r in common.select("w").collect()]
     grounded = F.exists(F.array_intersect("words", "asked"), lambda w: ~w.isin(common))
@@ -284,15 +305,21 @@ def fit_declining(answers: DataFrame, labelled: DataFrame, languages, sentences_
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                counts: dict[tuple[int, str], list[np.ndarray]] = {}
-                for lang, sents, grounded in zip(*(b.column(k).to_pylist() for k in range(3))):
-                    flat = np.array([p for s in sents for p in s], np.int64)
-                    kind = 0 if grounded else 1  # 10: positive; 1: of which nothing is known
-                    if w.value is not None:
-                        s = np.array([w.value[np.array(x, np.int64)].sum() for x in sents]) / 3
-                        kind = 10 if s.max() > ROUND_MARGIN and s.sum() > ROUND_MARGIN else 0
-                    counts.setdefault((kind, lang), []).append(flat)
-                yield _batch(counts)
+                langs, sents = b.column(0).to_pylist(), b.column(1)
+                parts = sents.flatten()
+                n, size = (x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for x in (sents, parts))
+                places, begin = parts.flatten().to_numpy(), np.cumsum(n) - n  # no answer is without sentences
+                if not len(n):
+                    continue
+                if w.value is None:
+                    kinds = np.where(b.column(2).to_numpy(zero_copy_only=False), 0, 1)  # 10: positive; 1: of which nothing is known
+                else:
+                    s = scores(w.value, parts)
+                    kinds = np.where((np.maximum.reduceat(s, begin) > ROUND_MARGIN) & (np.add.reduceat(s, begin) > ROUND_MARGIN), 10, 0)
+                groups: dict[tuple[int, str], int] = {}
+                group = np.array([groups.setdefault(g, len(groups)) for g in zip(kinds.tolist(), langs)])
+                of_place = np.repeat(group, np.add.reduceat(size, begin))
+                yield _batch({g: [places[of_place == k]] for g, k in groups.items()})
 
         return _counted(distinct.mapInArrow(work, _COUNTS), names)
 
@@ -300,4 +327,4 @@ def fit_declining(answers: DataFrame, labelled: DataFrame, languages, sentences_
     for _ in range(ROUNDS + 1):
         negative, positive = counted(weights)
         weights = fit_weights(seeded + positive, documents + negative)
-    return weights
+    return weights, seen

@@ -6,8 +6,9 @@ an answer breaks off. (3) The naive Bayes classifier of ``declining`` tells answ
 the question.
 
 Plan. Both classifiers are fitted on all labelled texts and all answers, by narrow passes that count n-grams a batch at a time; their models
-are arrays of fixed size. One narrow pass over the answers judges everything but their ends; one more counts ends over all answers. Distinct
-last words are joined to the counts of their contexts.
+are arrays of fixed size. One narrow pass reads the answers: their features for the classifier of refusals, which are kept, and every defect
+but refusals and ends. The kept features tell the refusals; one more pass counts ends over all answers. Distinct last words are joined to the
+counts of their contexts.
 
 Defined results: a null or blank text is ``empty`` whatever the prompt; null messages leave only the defects that
 need no question; a row has at most one defect, the first of empty, copy, refusal, truncated, language; repeated rows
@@ -20,8 +21,10 @@ import math
 import re
 import unicodedata
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, functions as F
 
 from memloom.llm.declining import fit_declining, only_decline
-from memloom.llm.endings import END_SHARE, Places, count_ends, end_shares
+from memloom.llm.endings import END_SHARE, count_ends, end_shares
 from memloom.operators.skew import join_unique
 from memloom.session import cut_lineage, ship, spread
 
@@ -77,45 +80,61 @@ def _wide(text: str) -> bool:
     return _WIDE.search(text) is not None
 
 
-def language_words(text: str) -> list[str]:
-    """Lower-case words (or runs of Han, kana and Hangul) that tell a language: no quoted words, numbers, ids, names."""
-    t = _QUOTED.sub(" ", text)
-    wide = _wide(t)
-    out: list[str] = []
-    for sentence in _SENTENCE_END.split(t):
-        first, opening = True, ""  # the first word is no name if other words follow it
-        for token in sentence.split():
-            if wide and _wide(token):
-                out.extend(_WIDE_RUN.findall(token))
-                first = False
-                continue
-            for w, begins_lower, name_like in _token_words(token):
-                if begins_lower:
-                    if opening:
-                        out.append(opening)
-                        opening = ""
-                    out.append(w)
-                elif first and name_like:
-                    opening = w
-                first = False
-    return out
+class _Tokens(dict):
+    """Of each run without spaces: its words that tell a language wherever it stands, its first word if it is like a name, whether it has
+    words, and whether one of them begins lower."""
+
+    def __missing__(self, token: str) -> tuple[list[str], str, bool, bool]:
+        if len(self) > 300_000:
+            self.clear()
+        if _wide(token):
+            known = (_WIDE_RUN.findall(token), "", True, False)
+        else:
+            words = [] if _DIGIT.search(token) else _SPACED_WORD.findall(token)
+            lower = [w.lower() for w in words if w[0].islower()]
+            name = words[0].lower() if words and not words[0][0].islower() and len(words[0]) > 1 and words[0][1:].islower() else ""
+            known = (lower, name, bool(words), bool(lower))
+        self[token] = known
+        return known
 
 
-_tokens: dict[str, list[tuple[str, bool, bool]]] = {}
+_tokens = _Tokens()
 
 
-def _token_words(token: str) -> list[tuple[str, bool, bool]]:
-    """(lower-case word, whether it begins lower, whether only its first letter is not lower) of the words of a token without digits."""
-    known = _tokens.get(token)
-    if known is None:
-        if len(_tokens) > 300_000:
-            _tokens.clear()
-        words = [] if _DIGIT.search(token) else _SPACED_WORD.findall(token)
-        known = _tokens[token] = [(w.lower(), w[0].islower(), len(w) > 1 and w[1:].islower()) for w in words]
-    return known
+def _sentence_tokens(text: str) -> Iterator[list[str]]:
+    """The runs without spaces of each sentence, without what is quoted."""
+    for line in _QUOTED.sub(" ", text).split("\n"):
+        tokens, begin = line.split(), 0
+        for k in [k for k, x in enumerate(tokens, 1) if x[-1] in ".!?"]:
+            yield tokens[begin:k]
+            begin = k
+        if begin < len(tokens):
+            yield tokens[begin:]
 
 
-_SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n+")
+def _opening(tokens: list[str]) -> str:
+    """The first word of a sentence if it is like a name, yet is none since other words follow it."""
+    name = ""
+    for token in tokens:
+        _, like_name, some, lower = _tokens[token]
+        if not name:
+            if some and not like_name:
+                return ""
+            name = like_name
+        if name and lower:
+            return name
+    return ""
+
+
+def language_words(text: str) -> list[str]:
+    """Lower-case words (or runs of Han, kana and Hangul) that tell a language: no quoted words, numbers, ids, names."""
+    out: list[str] = []
+    for tokens in _sentence_tokens(text):
+        if opening := _opening(tokens):
+            out.append(opening)
+        for token in tokens:
+            out.extend(_tokens[token][0])
+    return out
 
 
 def grams(words: list[str]) -> Iterator[str]:
@@ -137,23 +156,33 @@ class Languages:
         total = counts.sum(axis=0) + 0.2
         prior = 2000.0 * total / total.sum()
         self.log = np.log((counts + prior) / (counts.sum(axis=1, keepdims=True) + 2000.0)).T.astype(np.float32)
-        self.memo: dict[str, np.ndarray] = {}
-
-    def _word(self, w: str) -> np.ndarray:
-        known = self.memo.get(w)
-        if known is None:
-            known = self.log[[gram_place(g) for g in grams([w])]].sum(axis=0)
-            if len(self.memo) > 200_000:
-                self.memo.clear()
-            self.memo[w] = known
-        return known
+        self.rows: dict[str, int] = {}
+        self.known = np.zeros((1024, len(names)), np.float32)
+
+    def _row(self, w: str) -> int:
+        k = self.rows[w] = len(self.rows)
+        if k == len(self.known):
+            self.known = np.concatenate([self.known, np.zeros_like(self.known)])
+        self.known[k] = self.log[word_places(w)].sum(axis=0)
+        return k
+
+    def posteriors_of(self, texts: list[list[str]]) -> np.ndarray:
+        """Log posteriors of the words of each text, relative to the best language, a row a text; 0 throughout without words."""
+        out = np.zeros((len(texts), len(self.names)), np.float32)
+        n = np.array([len(words) for words in texts], np.int64)
+        if not n.any() or not self.names:
+            return out
+        if len(self.rows) > 200_000:
+            self.rows.clear()
+        get, new = self.rows.get, self._row
+        rows = [new(w) if (k := get(w)) is None else k for w in chain.from_iterable(texts)]
+        # N-grams overlap threefold, hence the third.
+        score = np.add.reduceat(self.known[rows], (np.cumsum(n) - n)[n > 0], axis=0) / 3
+        out[n > 0] = score - score.max(axis=1, keepdims=True)
+        return out
 
     def posteriors(self, words: list[str]) -> dict[str, float]:
-        """Log posteriors, relative to the best language; n-grams overlap threefold, hence the third."""
-        if not words or not self.names:
-            return {}
-        score = sum(map(self._word, words)) / 3
-        return dict(zip(self.names, (score - score.max()).tolist()))
+        return dict(zip(self.names, self.posteriors_of([words])[0].tolist())) if words and self.names else {}
 
     def best(self, text: str) -> str | None:
         p = self.posteriors(language_words(text))
@@ -164,6 +193,11 @@ def gram_place(gram: str) -> int:
     return zlib.crc32(gram.encode("utf-8", "surrogatepass")) & ((1 << GRAM_BITS) - 1)
 
 
+@lru_cache(200_000)
+def word_places(word: str) -> np.ndarray:
+    return np.array([gram_place(g) for g in grams([word])], np.int64)
+
+
 #: Names of languages, by code, as questions may write them.
 LANGUAGE_NAMES = {
     "en": "english englisch anglais inglés inglês inglese angielsk английск 英语 英文 英語",
@@ -184,37 +218,46 @@ def asked_languages(question: str) -> set[str]:
     return {code for code, names in LANGUAGE_NAMES.items() if any(re.search(r"(?<!\w)" + n, low) if n.isascii() or n[0] < "　" else n in low for n in names.split())}
 
 
-def language_differs(question: str, answer: str, model: Languages) -> bool:
-    pa_, pq = model.posteriors(language_words(answer)), model.posteriors(language_words(question))
-    if not pa_ or not pq:
-        return False
-    la, lq = max(pa_, key=pa_.get), max(pq, key=pq.get)
-    if la == lq or la in asked_languages(question):
-        return False
-    return pa_[la] - pa_[lq] >= ANSWER_MARGIN and pq[lq] - pq[la] >= QUESTION_MARGIN
+def languages_differ(model: Languages, questions: list[str | None], asked: list[list[str]], answered: list[list[str]]) -> list[bool]:
+    """Whether each answer is in another language than its question, which asks for no other, by the words of both."""
+    if not questions or not model.names:
+        return [False] * len(questions)
+    both = np.array([bool(a and q) for a, q in zip(answered, asked)])
+    pa_, pq = model.posteriors_of(answered), model.posteriors_of(asked)
+    la, lq, at = pa_.argmax(axis=1), pq.argmax(axis=1), np.arange(len(questions))
+    far = both & (la != lq) & (pa_[at, la] - pa_[at, lq] >= ANSWER_MARGIN) & (pq[at, lq] - pq[at, la] >= QUESTION_MARGIN)
+    return [bool(x) and model.names[k] not in asked_languages(q) for x, k, q in zip(far, la, questions)]
 
 
 # --------------------------------------------------------------------------------- last line, sentences
 
 _SIGNATURE = re.compile(r"\s*\n\s*[—–-]+\s*\S+(?:\s\S+)?$")
 _AFTER = re.compile(r"(?<=[.!?。！？…])\s*(?:[“\"„«「][^“”\"„«»「」\n]{1,60}[”\"“»」]|\([^()\n]{1,60}\)|\[[^\[\]\n]{1,60}\])$")
+_AFTER_END = frozenset("”\"“»」)]")
 
 
 def body(text: str) -> str:
     """The text before a signature, ornaments, and a note in quotes or brackets behind its last sentence."""
-    t = _SIGNATURE.sub("", text)
+    # A signature holds three runs without spaces at most.
+    ahead = text.rsplit(None, 3)
+    found = _SIGNATURE.search(text, len(ahead[0]) if len(ahead) > 3 else 0) if "\n" in text else None
+    t = text[: found.start()] + text[found.end() :] if found else text
     while t and (t[-1].isspace() or unicodedata.category(t[-1]) in ("So", "Sk", "Cf", "Mn")):
         t = t[:-1]
-    return _AFTER.sub("", t).rstrip()
+    return (_AFTER.sub("", t) if t and t[-1] in _AFTER_END else t).rstrip()
 
 
 def _sentences(t: str) -> list[str]:
-    return [s.strip() for s in re.split(r"(?<=[.!?])\s+|(?<=[。！？])|\n+", t) if s.strip()]
+    return [s for x in _STOP.sub(r"\1\n", t).split("\n") if (s := x.strip())]
+
+
+_STOP = re.compile(r"([.!?](?=\s)|[。！？])")
+_WORD_SIGN = re.compile(r"\w")
 
 
 def answer_sentences(answer: str) -> list[str]:
     """The sentences of an answer without what it quotes."""
-    return [s for s in _sentences(body(_QUOTED.sub(" ", visible(answer)))) if re.search(r"\w", s)]
+    return [s for s in _sentences(body(_QUOTED.sub(" ", visible(answer)))) if _WORD_SIGN.search(s)]
 
 
 def last_line(text: str) -> str:
@@ -230,7 +273,11 @@ _NO_WORD = re.compile(r"[\W_]+")
 
 
 def _plain(text: str) -> str:
-    t = _ANSWER_LABEL.sub("", _LABEL.sub("", text.strip()))
+    t = text.strip()
+    if m := _LABEL.match(t):
+        t = t[m.end() :]
+    if t.endswith(":"):
+        t = _ANSWER_LABEL.sub("", t)
     if not t.isascii():
         t = unicodedata.normalize("NFKC", t)
     return _NO_WORD.sub(" ", t.casefold()).strip()
@@ -297,7 +344,8 @@ def is_copy(question: str, answer: str) -> bool:
 
 def _question_parts(question: str) -> list[str]:
     """The question without its last sentence, and without a remark in brackets at its end."""
-    return [s for s in (_LAST_SENTENCE.sub("", question), _REMARK.sub("", question)) if s.strip() and s != question]
+    remark = _REMARK.sub("", question) if question.rstrip().endswith(")") else question
+    return [s for s in (_LAST_SENTENCE.sub("", question), remark) if s.strip() and s != question]
 
 
 _LAST_SENTENCE = re.compile(r"(?<=[.?!？。])\s*[^.?!？。]*[.?!。]?\s*$")
@@ -314,25 +362,42 @@ def prescribed(system: str | None) -> list[str]:
     return _PRESCRIBED.findall(system or "")
 
 
-def defects_of(questions: list, systems: list, texts: list, languages: Languages, weights: np.ndarray) -> list[tuple[str | None, str | None]]:
-    """(the defect that needs no ends, the line whose end must tell whether the text is truncated, which comes before ``language``)."""
+@lru_cache(10_000)
+def _plain_prescribed(system: str | None) -> frozenset[str]:
+    return frozenset(map(_plain, prescribed(system)))
+
+
+_PREFIX = re.compile(r"\w{1,10}:\s")
+
+#: What is told of an answer that its system message prescribes.
+FINE = "fine"
+
+
+def read_answers(questions: list, systems: list, texts: list, languages: Languages) -> dict[str, list]:
+    """Of each answer ``lang``, its likeliest language; ``parts``, its sentences; ``told``, ``FINE`` or the defect that needs no classifier of
+    refusals, which leaves no other; ``differs``, whether its language does; ``line``, whose end must tell whether it is truncated, unless ``told``."""
     shown = [visible(t) for t in texts]
-    declines = only_decline(weights, [answer_sentences(t) for t in shown])
-    out: list[tuple[str | None, str | None]] = []
-    for question, system, text, declined in zip(questions, systems, shown, declines):
-        plain = _plain(text)
+    told: list[str | None] = []
+    for question, system, text in zip(questions, systems, shown):
         if not text:
-            out.append(("empty", None))
-        elif any(plain == _plain(p) for p in prescribed(system)):
-            out.append((None, None))
-        elif question and is_copy(question, text):
-            out.append(("copy", None))
-        elif declined:
-            out.append(("refusal", None))
+            told.append("empty")
+        elif (of_system := _plain_prescribed(system)) and _plain(text) in of_system:
+            told.append(FINE)
         else:
-            differs = question and language_differs(question, re.sub(r"^\w{1,10}:\s", "", text), languages)
-            out.append(("language" if differs else None, last_line(text)))
-    return out
+            told.append("copy" if question and is_copy(question, text) else None)
+    words = [language_words(t) for t in texts]
+    best = languages.posteriors_of(words).argmax(axis=1).tolist() if languages.names and texts else []
+    lang = [languages.names[k] if w else None for k, w in zip(best, words)] if best else [None] * len(texts)
+    asked = [language_words(q) if q and not x else [] for q, x in zip(questions, told)]
+    bare = [t[m.end() :] if (m := _PREFIX.match(t)) else t for t in shown]
+    answered = [[] if not q else w if b == t else language_words(b) for q, w, b, t in zip(asked, words, bare, texts)]
+    return {
+        "lang": lang,
+        "parts": [answer_sentences(t) for t in shown],
+        "told": told,
+        "differs": languages_differ(languages, questions, asked, answered),
+        "line": [None if x else last_line(t) for x, t in zip(told, shown)],
+    }
 
 
 # ---------------------------------------------------------------------------------------------- Spark
@@ -354,16 +419,24 @@ def fit_languages(texts: DataFrame) -> Languages:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words: Counter = Counter()
+            tokens: dict[str, Counter] = defaultdict(Counter)
+            words: dict[str, Counter] = defaultdict(Counter)
             for t, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words.update((k, w) for w in language_words(t))
-            c: Counter = Counter()
-            for (k, w), n in words.items():
-                for g in grams([w]):
-                    c[k, gram_place(g)] += n
-            rows = [(k, g, n) for (k, g), n in c.items()]
-            cols = [pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.string(), pa.int32(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["code", "place", "n"])
+                sentences = [*_sentence_tokens(t)]
+                tokens[k].update(chain.from_iterable(sentences))
+                for sentence in sentences:
+                    if opening := _opening(sentence):
+                        words[k][opening] += 1
+            for k, of_code in tokens.items():
+                c = words[k]
+                for token, n in of_code.items():
+                    for w in _tokens[token][0]:
+                        c[w] += n
+                places = [word_places(w) for w in c]
+                n = np.repeat(np.fromiter(c.values(), np.int64, len(c)), [len(x) for x in places])
+                at, which = np.unique(np.concatenate([np.zeros(0, np.int64), *places]), return_inverse=True)
+                cols = [pa.array([k] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(np.bincount(which, weights=n, minlength=len(at)), pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, names=["code", "place", "n"])
 
     counted = spread(texts).mapInArrow(count, "code string, place int, n bigint").groupBy("code", "place").agg(F.sum("n").alias("n")).toArrow()
     codes = counted.column("code").to_pylist()
@@ -393,24 +466,25 @@ def defective_pairs(answers: DataFrame, labelled: DataFrame, id_col: str = "answ
     slim = answers.select(F.col(f"`{id_col}`").alias("id"), question_of(m).alias("question"), system_of(m).alias("system"), F.col(f"`{text}`").cast("string").alias("text"))
     texts = labelled_texts(labelled)
     languages = fit_languages(texts)
-    asked = slim.select("question", "system", "text").filter("text is not null")
-    weights = fit_declining(asked, texts, languages, answer_sentences, prescribed)
-    shared = spark.sparkContext.broadcast((languages, weights))
+    asked = slim.filter("text is not null")
+    weights, read = fit_declining(asked, texts, languages, read_answers, answer_sentences, prescribed)
+    shared = spark.sparkContext.broadcast(weights)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = defects_of(*(b.column(k).to_pylist() for k in (1, 2, 3)), *shared.value)
-            endings = iter(Places(lines := [x for _, x in found if x is not None]).endings(len(lines)))
-            cols = [pa.array([x[0] for x in found], pa.string()), pa.array([None if x is None else next(endings) for _, x in found], pa.string())]
+            told, differs, ending = (b.column(k).to_pylist() for k in (1, 2, 3))
+            declined = only_decline(shared.value, b.column(4))
+            defect = [None if t == FINE else t or ("refusal" if d else "language" if x else None) for t, d, x in zip(told, declined, differs)]
+            cols = [pa.array(defect, pa.string()), pa.array([None if t or d else e for t, d, e in zip(told, declined, ending)], pa.string())]
             out = pa.RecordBatch.from_arrays([b.column(0), *cols], names=["id", "defect", "ending"])
             yield out.filter(pa.compute.or_(out.column(1).is_valid(), out.column(2).is_valid()))
 
     kind = slim.schema[0].dataType.simpleString()
-    judged = cut_lineage(spread(slim).mapInArrow(work, f"id {kind}, defect string, ending string"))
+    judged = cut_lineage(read.select("id", "told", "differs", "ending", "sents").mapInArrow(work, f"id {kind}, defect string, ending string"))
     told, left = judged.filter("ending is null"), judged.filter("ending is not null")
     endings = cut_lineage(left.groupBy("ending").agg(F.count(F.lit(1)).alias("rows")))
-    shown = slim.select(F.col("text")).filter("text is not null")
-    shares = cut_lineage(end_shares(endings, count_ends(shown, visible)))
+    shares = cut_lineage(end_shares(endings, count_ends(asked.select("text"), visible)))
     left = join_unique(left, shares, "ending", "rows", left.count())
     left = left.withColumn("defect", F.when(F.col("share") < END_SHARE, "truncated").otherwise(F.col("defect"))).filter("defect is not null")
-    return told.select("id", "defect").unionByName(left.select("id", "defect")).withColumnRenamed("id", id_col)
+    null = slim.filter("text is null").select("id", F.lit("empty").alias("defect"))
+    return told.select("id", "defect").unionByName(left.select("id", "defect")).unionByName(null).withColumnRenamed("id", id_col)

@@ -1,9 +1,10 @@
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from memloom.llm import endings, pairs
+from memloom.llm import declining, endings, pairs
 
 SYSTEM = 'Stay short. If the fact is absent, reply exactly "Not in the record."'
 LABELLED = {
@@ -206,3 +207,69 @@ def test_models_are_fitted_on_all_rows(spark, monkeypatch):
     monkeypatch.setattr(pairs, "fit_declining", fit)
     pairs.defective_pairs(answers.unionByName(many), docs.unionByName(texts))
     assert fitted == {"answers": n, "labelled": n}
+
+
+def features_by_hand(sentences):
+    """(place, sentence) of the 1- to 3-grams of the codes of each sentence, token by token."""
+    out = []
+    for k, sentence in enumerate(sentences):
+        words = [t for t in endings.token_pattern.findall(sentence.replace("’", "'")) if t[0].isalnum()]
+        codes = ["^"]
+        for n, t in enumerate(words):
+            digits = any(x.isdigit() for x in t)
+            codes.append("N" if n and t[0].isupper() and len(t) > 1 and not digits else "0" if digits else t.lower())
+        codes = [declining._hash(c) for c in [*codes, "$"]]
+        for n in (1, 2, 3):
+            for g in zip(*(codes[m:] for m in range(n))):
+                if n == 1 and g[0] in (codes[0], codes[-1]):
+                    continue
+                x = 0
+                for c in g:
+                    x = (x * 1_000_003 + c) % 2**64
+                out.append((int(declining._place(np.array([x], np.uint64))[0]), k))
+    return sorted(out)
+
+
+def test_features_read_each_run_of_a_text_once(monkeypatch):
+    sentences = ["Zoë’s lamp of S3:T01, Zoë's lamp!", "", "— ...", "“Zoë” N 12,500", "绿色的 灯。Zoë", "a b　c\x1cd", "rec- the\n\n The"] * 50
+    places, of = declining.features(sentences)
+    assert sorted(zip(places.tolist(), of.tolist())) == features_by_hand(sentences)
+
+    class Counting:
+        runs = 0
+
+        def findall(self, text):
+            self.runs += 1
+            return endings.token_pattern.findall(text)
+
+    counting = Counting()
+    monkeypatch.setattr(declining, "token_pattern", counting)
+    declining.features(["Quorlim vashed the tarnel, and Quorlim vashed the sorbel."] * 300)
+    assert counting.runs <= 7
+
+
+def test_answers_are_judged_alike_in_any_batch():
+    texts = [(t, k) for k, ts in LABELLED.items() for t in ts]
+    names = sorted(LABELLED)
+    counts = np.zeros((len(names), 1 << pairs.GRAM_BITS))
+    for t, k in texts * 20:
+        for g in pairs.grams(pairs.language_words(t)):
+            counts[names.index(k), pairs.gram_place(g)] += 1
+    model = pairs.Languages(names, counts)
+    rows = [(q, s, a) for q, s, a, _ in CASES if a is not None]
+    together = pairs.read_answers(*map(list, zip(*rows)), model)
+    alone = [pairs.read_answers(*([x] for x in row), model) for row in rows]
+    assert together == {k: [x for of_row in alone for x in of_row[k]] for k in together}
+    assert [x for x in together["told"] if x] == ["empty", "empty", "copy", "copy", pairs.FINE]
+    assert [a for (_, _, a), x in zip(rows, together["differs"]) if x] == ["Der Zug war zu spät, weil niemand die Tür gemessen hatte."]
+
+
+def test_languages_are_counted_by_the_words_of_each_text(spark):
+    texts = [("The lamp. Zoë fell!\nBrimmo\nZoë’s S3:T01 aB c. 'Twas “no word” Then we", "en"), ("灯 and 绿色的 Zoë fell. Zoë 灯 fell", "zh"), ("12 ...", "de"), ("the lamp the lamp", "en")]
+    counts = {k: Counter() for k in ("en", "zh")}
+    for t, k in texts[:2] + texts[3:]:
+        counts[k].update(map(pairs.gram_place, pairs.grams(pairs.language_words(t))))
+    assert pairs.language_words(texts[0][0]) == ["the", "lamp", "zoë", "fell", "zoë’s", "ab", "c", "twas", "we"]
+    model = pairs.fit_languages(spark.createDataFrame(texts, "text string, code string"))
+    full = np.array([[counts[k][p] for p in range(1 << pairs.GRAM_BITS)] for k in model.names], float)
+    assert model.names == ["en", "zh"] and np.array_equal(model.log, pairs.Languages(model.names, full).log)
