@@ -168,6 +168,10 @@ class Languages:
 
     def posteriors_of(self, texts: list[list[str]]) -> np.ndarray:
         """Log posteriors of the words of each text, relative to the best language, a row a text; 0 throughout without words."""
+        blocks = [self._block(texts[k : k + 500]) for k in range(0, len(texts), 500)]
+        return np.concatenate([np.zeros((0, len(self.names)), np.float32), *blocks])
+
+    def _block(self, texts: list[list[str]]) -> np.ndarray:
         out = np.zeros((len(texts), len(self.names)), np.float32)
         n = np.array([len(words) for words in texts], np.int64)
         if not n.any() or not self.names:
@@ -193,9 +197,9 @@ def gram_place(gram: str) -> int:
     return zlib.crc32(gram.encode("utf-8", "surrogatepass")) & ((1 << GRAM_BITS) - 1)
 
 
-@lru_cache(200_000)
+@lru_cache(100_000)
 def word_places(word: str) -> np.ndarray:
-    return np.array([gram_place(g) for g in grams([word])], np.int64)
+    return np.array([gram_place(g) for g in grams([word])], np.int32)
 
 
 #: Names of languages, by code, as questions may write them.
@@ -434,7 +438,7 @@ def fit_languages(texts: DataFrame) -> Languages:
                         c[w] += n
                 places = [word_places(w) for w in c]
                 n = np.repeat(np.fromiter(c.values(), np.int64, len(c)), [len(x) for x in places])
-                at, which = np.unique(np.concatenate([np.zeros(0, np.int64), *places]), return_inverse=True)
+                at, which = np.unique(np.concatenate([np.zeros(0, np.int32), *places]), return_inverse=True)
                 cols = [pa.array([k] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(np.bincount(which, weights=n, minlength=len(at)), pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, names=["code", "place", "n"])
 
